@@ -182,12 +182,13 @@ def links(prints: DataFrame, most: int = MAX_BITS, bucket: int = BUCKET) -> Data
     if not 0 <= most <= MAX_BITS:
         raise ValueError(f"the keys hold for at most {MAX_BITS} bits")
     keyed = prints.select("print").filter("print is not null").distinct().mapInPandas(_keyed, "key long, print long")
-    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    members = keyed.join(shared, "key")
-    near = members.filter(F.col("n") <= bucket).select("key", "print").repartition("key").sortWithinPartitions("key")
+    crowded = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket).select("key"))
+    busy = bool(crowded.take(1))
+    quiet = keyed.join(crowded, "key", "left_anti") if busy else keyed
+    near = quiet.repartition("key").sortWithinPartitions("key")
     found = near.mapInPandas(lambda batches: _verified(batches, most), "a long, b long")
-    if (shared.agg(F.max("n")).first()[0] or 0) > bucket:
-        found = found.union(_through_neighbours(members.filter(F.col("n") > bucket).select("print").distinct(), most))
+    if busy:
+        found = found.union(_through_neighbours(keyed.join(crowded, "key", "left_semi").select("print").distinct(), most))
     return found.distinct()
 
 
