@@ -1,11 +1,10 @@
 """Substring deduplication with Rabin-Karp hashes of every window of consecutive words.
 
-1. Each batch of documents hashes all its windows and keeps the least document of each hash (pre-aggregation: a window
-   that thousands of documents share leaves a batch once). Windows that occur in an earlier document of the batch are
-   hits at once.
-2. The hashes are dealt out by their high bits, packed as sorted arrays; for each hash the least document of the corpus
-   is found, and batches whose least document is a later one get a hit.
-3. Hits, packed per document, meet their document; hit windows merge into maximal intervals of words.
+1. Each batch of documents hashes all its windows and keeps, of each hash, those of the least document (pre-aggregation:
+   a window that thousands of documents share leaves a batch once). The others are hits at once.
+2. The hashes are dealt out by their high bits, packed as sorted arrays with document and place; for each hash the least
+   document of the corpus is found, and windows of batches whose least document is a later one are hits.
+3. Hits travel as runs of window starts, are gathered per document and merge into maximal intervals of words.
 
 Windows are compared by 64-bit hashes of 64-bit word hashes: among n distinct windows of a corpus a window is taken for
 another with a probability of about n / 2^64 (below one in a million up to 10^13 windows).
@@ -24,8 +23,8 @@ WINDOW = 13
 BASE = 0x9E3779B97F4A7C15
 #: Windows that a task gathers before it deals them out.
 GATHERED = 1 << 20
-#: Windows that one bucket aims at: 16 bytes each in the task that counts it.
-BUCKET_WINDOWS = 1 << 21
+#: Windows that one bucket aims at: 24 bytes each in the task that counts it.
+BUCKET_WINDOWS = 1 << 22
 #: Characters of text behind a window, for the number of buckets: a window starts at each word.
 CHARS_PER_WINDOW = 5
 REMEMBERED = 200_000
@@ -63,39 +62,46 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def _least(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, first of its hash, least document of its hash) after sorting by hash and document."""
-    order = np.lexsort((docs, hashes))
-    h, d = hashes[order], docs[order]
-    first = np.ones(len(h), bool)
-    first[1:] = h[1:] != h[:-1]
-    least = d[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
-    return order, first, least
+def _runs(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, number of runs, first, last + 1): runs of consecutive places in each document; input in any order."""
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    begins = np.ones(len(doc), bool)
+    begins[1:] = (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + 1)
+    starts = np.flatnonzero(begins)
+    whose, count = np.unique(doc[starts], return_counts=True)
+    return whose, count, place[starts], place[np.append(starts[1:], len(doc)) - 1] + 1
 
 
-def _packed(docs: np.ndarray, hashes: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """One packed array of hashes for each document."""
-    order = np.argsort(docs, kind="stable")
-    docs, hashes = docs[order], hashes[order]
-    starts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.empty(0, int)
-    return docs[starts].tolist(), [part.tobytes() for part in np.split(hashes, starts[1:])] if len(docs) else []
+_HITS = ("ids", "ties", "counts", "firsts", "lasts")
+_KINDS = ("<i8", "<i8", "<u4", "<u4", "<u4")
 
 
-def _rows(bucket: list[int], hashes: list[bytes], docs: list[bytes] | None = None, doc: list[int] | None = None) -> pa.RecordBatch:
-    """Rows for the counting step: hashes with their documents, or a document's hits, which it passes on."""
-    none = [None] * len(bucket)
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(doc or none, pa.int64()), pa.array(docs or none, pa.binary()), pa.array(hashes, pa.binary())], ["bucket", "doc", "docs", "hashes"])
+def _hit_rows(ids: np.ndarray, ties: np.ndarray, doc: np.ndarray, place: np.ndarray, groups: int, extra: tuple[str, ...] = ()) -> pa.RecordBatch:
+    """Packed hits, one row for each group of documents."""
+    whose, count, first, last = _runs(doc, place)
+    mixed = (ids[whose].view(np.uint64) ^ ties[whose].view(np.uint64)) * np.uint64(BASE)
+    group = ((mixed >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    each = np.repeat(np.arange(len(whose)), count)
+    turn = np.argsort(group[each], kind="stable")
+    numbers, at = np.unique(group[order], return_index=True)
+    cuts = at[1:]
+    run_cuts = np.cumsum(np.bincount(np.searchsorted(numbers, group), weights=count, minlength=len(numbers)).astype(np.int64))[:-1]
+    columns = (ids[whose[order]], ties[whose[order]], count[order], first[turn], last[turn])
+    packed = [[part.astype(kind).tobytes() for part in np.split(c, cuts if k < 3 else run_cuts)] for k, (c, kind) in enumerate(zip(columns, _KINDS, strict=True))]
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *[pa.array(c, pa.binary()) for c in packed], *[pa.nulls(len(numbers), pa.binary()) for _ in extra]], ["bucket", *_HITS, *extra])
 
 
 def _gather(size: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, held, count = WordHashes(), [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, tie, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if doc is not None:
-                    found = np.unique(windows(hashed(words_of(text.as_py())), size))
+                    found = windows(hashed(words_of(text.as_py())), size)
                     if len(found):
-                        held.append((found, doc))
+                        held.append((doc, tie, found))
                         count += len(found)
                 if count >= GATHERED:
                     yield from _deal(held, buckets)
@@ -105,95 +111,167 @@ def _gather(size: int, buckets: int):
     return run
 
 
+_DEALT = ("hashes", "docs", "places", "own")
+
+
 def _deal(held: list, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Hits within a batch, and its other windows by bucket."""
     if not held:
         return
-    hashes = np.concatenate([h for h, _ in held])
-    docs = np.repeat(np.array([d for _, d in held], np.int64), [len(h) for h, _ in held])
-    order, first, least = _least(hashes, docs)
-    h, d = hashes[order], docs[order]
-    again = d > least
+    held = list({(doc, tie): (doc, tie, found) for doc, tie, found in sorted(held, key=lambda x: x[:2])}.values())
+    ids, ties = (np.array([x[k] for x in held], np.int64) for k in (0, 1))
+    hashes = np.concatenate([f for _, _, f in held])
+    doc = np.repeat(np.arange(len(held)), [len(f) for _, _, f in held])
+    place = np.concatenate([np.arange(len(f)) for _, _, f in held])
+    # Stable: equal hashes stay in the order of documents and places.
+    order = np.argsort(hashes, kind="stable")
+    h, d, p = hashes[order], doc[order], place[order]
+    least = ids[d][_first_of(h)]
+    again = ids[d] > least
     if again.any():
-        doc, packed = _packed(d[again], h[again])
-        yield _rows([x % buckets for x in doc], packed, doc=doc)
-    h, d = h[first], d[first]
+        yield _hit_rows(ids, ties, d[again], p[again], buckets, _DEALT)
+    h, d, p = h[~again], d[~again], p[~again]
     bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    # A document is written once, as its place among the batch's documents.
-    ids, place = np.unique(d, return_inverse=True)
-    parts, whose = np.split(h, starts[1:]), np.split(place, starts[1:])
-    dealt = []
-    for p in whose:
-        own, spot = np.unique(p, return_inverse=True)
-        wide = "<u2" if len(own) <= 1 << 16 else "<u4"
-        dealt.append(np.array([len(own)], "<i8").tobytes() + ids[own].astype("<i8").tobytes() + spot.astype(wide).tobytes())
-    for at in range(0, len(parts), 256):
-        yield _rows(bucket[starts[at : at + 256]].tolist(), [p.astype("<u8").tobytes() for p in parts[at : at + 256]], dealt[at : at + 256])
-
-
-def _documents(packed: bytes) -> np.ndarray:
-    n = int(np.frombuffer(packed, "<i8", 1)[0])
-    ids = np.frombuffer(packed, "<i8", n, 8)
-    return ids[np.frombuffer(packed, "<u2" if n <= 1 << 16 else "<u4", -1, 8 + 8 * n)]
-
-
-def _count(table: pa.Table) -> pa.Table:
-    """Hits of one bucket: hashes whose least document is smaller than a batch's own."""
-    counted = table.filter(pa.compute.is_valid(table.column("docs")))
-    passed = table.filter(pa.compute.is_valid(table.column("doc"))).select(["doc", "hashes"])
-    hashes = np.concatenate([np.empty(0, "<u8"), *[np.frombuffer(v.as_py(), "<u8") for v in counted.column("hashes")]])
-    docs = np.concatenate([np.empty(0, "<i8"), *[_documents(v.as_py()) for v in counted.column("docs")]])
-    order, _, least = _least(hashes, docs)
-    h, d = hashes[order], docs[order]
-    doc, packed = _packed(d[d > least], h[d > least])
-    return pa.concat_tables([pa.table({"doc": pa.array(doc, pa.int64()), "hashes": pa.array(packed, pa.binary())}), passed])
-
-
-def _covered(found: np.ndarray, hit: np.ndarray, words: int, size: int) -> np.ndarray:
-    """Edges of the maximal intervals of words under hit windows: one row (start, end) for each."""
-    starts = np.flatnonzero(np.isin(found, hit))
-    steps = np.zeros(words + 1, np.int64)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, starts + size, -1)
-    inside = np.concatenate([[0], (np.cumsum(steps) > 0).astype(np.int8)[:words], [0]])
-    edges = np.diff(inside)
-    return np.stack([np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)], axis=1)
-
-
-def _cut_out(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = WordHashes()
-        for batch in batches:
-            ids, texts, hits = batch.column(0), batch.column(1), batch.column(2)
-            for at in range(0, len(ids), 500):
-                numbers, removed, spans, kept = [], [], [], []
-                for text, packed in zip(texts[at : at + 500], hits[at : at + 500], strict=True):
-                    words = words_of(text.as_py())
-                    numbers.append(len(words))
-                    cuts = np.empty((0, 2), np.int64)
-                    if (parts := packed.as_py()) and len(words) >= size:
-                        cuts = _covered(windows(hashed(words), size), np.concatenate([np.frombuffer(p, "<u8") for p in parts]), len(words), size)
-                    rest, here = [], 0
-                    for a, b in cuts.tolist():
-                        rest += words[here:a]
-                        here = b
-                    rest += words[here:]
-                    removed.append(len(words) - len(rest))
-                    spans.append([{"start": a, "end": b} for a, b in cuts.tolist()])
-                    kept.append(b" ".join(rest))
-                span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([ids[at : at + 500], pa.array(numbers, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "spans", "kept"])
+    rows = []
+    for a, b in zip(starts, np.append(starts[1:], len(h)), strict=True):
+        own, spot = np.unique(d[a:b], return_inverse=True)
+        rows.append((int(bucket[a]), _pack_sorted(h[a:b]), _pack_small(spot), _pack_small(p[a:b]), _pack_documents(ids[own], ties[own])))
+    for at in range(0, len(rows), 256):
+        part = list(zip(*rows[at : at + 256], strict=True))
+        none = pa.nulls(len(part[0]), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), *[none] * len(_HITS), *[pa.array(c, pa.binary()) for c in part[1:]]], ["bucket", *_HITS, *_DEALT])
+
+
+def _first_of(sorted_values: np.ndarray) -> np.ndarray:
+    """For each place in a sorted array the place of its first equal value."""
+    first = np.ones(len(sorted_values), bool)
+    first[1:] = sorted_values[1:] != sorted_values[:-1]
+    return np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+
+
+def _pack_small(values: np.ndarray) -> bytes:
+    """16 bits a value where that is enough, else 32; the first byte tells."""
+    wide = len(values) and int(values.max()) >= 1 << 16
+    return (b"\4" if wide else b"\2") + values.astype("<u4" if wide else "<u2").tobytes()
+
+
+def _unpack_small(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "<u4" if packed[0] == 4 else "<u2", -1, 1)
+
+
+def _pack_sorted(values: np.ndarray) -> bytes:
+    """Sorted 64-bit values: the first, then the steps of the high halves (16 bits where that is enough), then the low halves."""
+    high, low = values >> np.uint64(32), (values & np.uint64(0xFFFFFFFF)).astype("<u4")
+    return values[:1].astype("<u8").tobytes() + _pack_small(np.diff(high, prepend=high[:1])) + low.tobytes()
+
+
+def _unpack_sorted(packed: bytes) -> np.ndarray:
+    wide = 4 if packed[8] == 4 else 2
+    n = (len(packed) - 9) // (wide + 4)
+    steps = np.frombuffer(packed, "<u4" if wide == 4 else "<u2", n, 9)
+    high = np.cumsum(steps, dtype=np.uint64) + (np.frombuffer(packed, "<u8", 1)[0] >> np.uint64(32))
+    return high << np.uint64(32) | np.frombuffer(packed, "<u4", n, 9 + wide * n)
+
+
+def _pack_documents(ids: np.ndarray, ties: np.ndarray) -> bytes:
+    """Ascending ids as the first and the steps, 16 or 32 bits wide where that is enough; ties only if there are any."""
+    steps = np.diff(ids, prepend=ids[:1])
+    tied = bool(ties.any())
+    wide = 8 if int(steps.max()) >= 1 << 32 else 4 if int(steps.max()) >= 1 << 16 else 2
+    return bytes([wide, tied]) + np.array([len(ids), ids[0]], "<i8").tobytes() + steps.astype(f"<u{wide}").tobytes() + (ties.astype("<i8").tobytes() if tied else b"")
+
+
+def _unpack_documents(packed: bytes) -> np.ndarray:
+    """Two rows: ids and ties."""
+    wide, tied = packed[0], packed[1]
+    n, first = np.frombuffer(packed, "<i8", 2, 2).tolist()
+    ids = np.cumsum(np.frombuffer(packed, f"<u{wide}", n, 18).astype(np.int64)) + first
+    return np.stack([ids, np.frombuffer(packed, "<i8", n, 18 + wide * n) if tied else np.zeros(n, np.int64)])
+
+
+def _count(groups: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Hits of one bucket: windows whose hash has a document with a smaller id; a batch's own hits pass."""
+        passed = table.filter(pa.compute.is_valid(table.column("ids"))).select(["bucket", *_HITS])
+        blobs = table.filter(pa.compute.is_valid(table.column("own"))).select(list(_DEALT)).to_pylist()
+        if not blobs:
+            return passed
+        hashes = np.concatenate([_unpack_sorted(b["hashes"]) for b in blobs])
+        place = np.concatenate([_unpack_small(b["places"]).astype(np.uint32) for b in blobs])
+        owners = [_unpack_documents(b["own"]) for b in blobs]
+        base = np.concatenate([[0], np.cumsum([o.shape[1] for o in owners])])
+        doc = np.concatenate([_unpack_small(b["docs"]).astype(np.uint32) + np.uint32(k) for b, k in zip(blobs, base, strict=False)])
+        ids, ties = np.concatenate(owners, axis=1)
+        order = np.argsort(hashes, kind="stable")
+        h, d, p = hashes[order], doc[order], place[order]
+        first = _first_of(h)
+        least = np.minimum.reduceat(ids[d], np.unique(first)) if len(h) else ids[:0]
+        again = ids[d] > np.repeat(least, np.diff(np.append(np.unique(first), len(h))))
+        if not again.any():
+            return passed
+        return pa.concat_tables([pa.Table.from_batches([_hit_rows(ids, ties, d[again].astype(np.int64), p[again].astype(np.int64), groups)]), passed])
 
     return run
 
 
-def hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
-    """(doc, hashes): packed hashes of the windows of a document that start in a document with a smaller id, in one or more rows."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(16, -(-chars // (CHARS_PER_WINDOW * bucket_windows)))
-    dealt = rows.mapInArrow(_gather(size, int(buckets)), "bucket long, doc long, docs binary, hashes binary")
-    return dealt.groupBy("bucket").applyInArrow(_count, "doc long, hashes binary")
+def _merge(size: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One row for each document of a group: its maximal intervals of words under hit windows."""
+        ids, ties, counts, firsts, lasts = (np.concatenate([np.frombuffer(v.as_py(), kind) for v in table.column(c)]) for c, kind in zip(_HITS, _KINDS, strict=True))
+        whose = np.repeat(np.arange(len(ids)), counts)
+        order = np.lexsort((firsts, ties[whose], ids[whose]))
+        i, t = ids[whose][order], ties[whose][order]
+        start, end = firsts[order].astype(np.int64), lasts[order].astype(np.int64) + size - 1
+        fresh = np.ones(len(i), bool)
+        fresh[1:] = (i[1:] != i[:-1]) | (t[1:] != t[:-1])
+        # The furthest end so far within a document: shift each document beyond all ends before it.
+        shift = np.cumsum(fresh) * (int(end.max()) + 1)
+        reach = np.maximum.accumulate(end + shift) - shift
+        opens = fresh.copy()
+        opens[1:] |= start[1:] > reach[:-1]
+        at = np.flatnonzero(opens)
+        close = reach[np.append(at[1:], len(i)) - 1]
+        docs = np.flatnonzero(fresh[at])
+        offsets = pa.array(np.append(docs, len(at)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int64())) for v in (start[at], close)]
+        return pa.table([pa.array(i[at][docs]), pa.array(t[at][docs]), *lists], ["id", "tie", "starts", "ends"])
+
+    return run
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts words and joins those outside the intervals."""
+    for batch in batches:
+        ids, texts, starts, ends = (batch.column(k) for k in range(4))
+        for at in range(0, len(ids), 500):
+            numbers, removed, spans, kept = [], [], [], []
+            for text, a, b in zip(texts[at : at + 500], starts[at : at + 500], ends[at : at + 500], strict=True):
+                words, cuts = words_of(text.as_py()), list(zip(a.as_py() or (), b.as_py() or (), strict=True))
+                rest, here = [], 0
+                for start, end in cuts:
+                    rest += words[here:start]
+                    here = end
+                rest += words[here:]
+                numbers.append(len(words))
+                removed.append(len(words) - len(rest))
+                spans.append([{"start": x, "end": y} for x, y in cuts])
+                kept.append(b" ".join(rest))
+            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([ids[at : at + 500], pa.array(numbers, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "spans", "kept"])
+
+
+def intervals(docs: DataFrame, size: int = WINDOW, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
+    """(id, tie, starts, ends) for rows (id, tie, text): maximal intervals of words under windows that also start in a document with a smaller id.
+
+    tie tells texts of equal id apart. Documents without such windows have no row.
+    """
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = int(max(16, -(-chars // (CHARS_PER_WINDOW * bucket_windows))))
+    names = [*_HITS, *_DEALT]
+    dealt = docs.select("id", "tie", "text").mapInArrow(_gather(size, buckets), "bucket long, " + ", ".join(f"{n} binary" for n in names))
+    found = dealt.groupBy("bucket").applyInArrow(_count(buckets), "bucket long, " + ", ".join(f"{n} binary" for n in _HITS))
+    return found.groupBy("bucket").applyInArrow(_merge(size), "id long, tie long, starts array<long>, ends array<long>")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
@@ -205,7 +283,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a null id neither remove nor lose words; rows of equal id do not remove each other's words. Texts shorter than a
     window stay. An empty table gives no rows.
     """
-    found = hits(docs, id_col, text_col, size).groupBy("doc").agg(F.collect_list("hashes").alias("hits"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    met = rows.join(found, rows["id"] == found["doc"], "left").select("id", "text", "hits")
-    return met.mapInArrow(_cut_out(size), "id long, n_words long, n_removed long, spans array<struct<start long, end long>>, kept string").withColumnRenamed("id", id_col)
+    key = F.col(id_col).cast("long")
+    # Texts of equal id are told apart by a hash; only where there are any.
+    repeated = bool(docs.groupBy(key.alias("id")).agg(F.count("*").alias("n")).filter("n > 1 and id is not null").take(1))
+    rows = docs.select(key.alias("id"), (F.xxhash64(F.col(text_col)) if repeated else F.lit(0).cast("long")).alias("tie"), F.col(text_col).alias("text"))
+    found = intervals(rows, size)
+    met = rows.join(found, ["id", "tie"], "left").select("id", "text", "starts", "ends")
+    return met.mapInArrow(_cut_out, "id long, n_words long, n_removed long, spans array<struct<start long, end long>>, kept string").withColumnRenamed("id", id_col)
