@@ -8,6 +8,7 @@ of the item and if the slots' values are consistent: wherever the item repeats a
 
 import re
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -41,42 +42,62 @@ def _hash(value: bytes) -> int:
 
 
 class Canon:
-    """Tokens and canonical hashes of texts, with a bounded memory of words."""
+    """Tokens and canonical hashes of texts, with a bounded memory of words.
 
-    def __init__(self):
-        self.clear()
+    With a ``vocabulary`` (lower-case words) all other words get one hash, which is in no window of the vocabulary's items.
+    """
 
-    def clear(self):
-        self.known: dict[str, int] = {}
-        # For each known token: its hash as a word, whether it is a number, a unit, capitalised, the end of a sentence.
-        self.facts: list[tuple[int, bool, bool, bool, bool]] = []
-        self.table = None
+    #: Rows of the table of facts that every canon begins with: an end of a sentence, a number, other words.
+    END, NUM, OTHER, CAPITAL = range(4)
 
-    def __call__(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(tokens, canonical hash of each, slot type of each: 0 for a plain word)."""
+    def __init__(self, vocabulary: set[str] | None = None):
+        self.vocabulary, other = vocabulary, _hash(b"<other>")
+        self.known: dict[str, int] = {}
+        self.rows: dict[tuple[str, bool], int] = {}
+        # Of each row: the hash as a word, whether it is a unit, whether it is capitalised.
+        self.facts: list[tuple[int, bool, bool]] = [(0, False, False), (_hash(_SLOTS[NUMBER]), False, False), (other, False, False), (other, False, True)]
+        self.table: list[np.ndarray] = []
+
+    def _row(self, token: str) -> int:
+        if token in _ENDS:
+            return self.END
+        if token[0].isdigit() and _NUMERIC.fullmatch(token):
+            return self.NUM
+        word, capital = token.lower(), token[0].isupper()
+        if self.vocabulary is not None and word not in self.vocabulary and word not in UNITS:
+            return self.CAPITAL if capital else self.OTHER
+        if (word, capital) not in self.rows:
+            self.rows[word, capital] = len(self.facts)
+            self.facts.append((_hash(word.encode()), word in UNITS, capital))
+        return self.rows[word, capital]
+
+    def __call__(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, places of those that are words, canonical hash of each, the same with names as plain words, slot types).
+
+        The second form finds an item again whose case was changed. The slot type of a plain word is 0.
+        """
         tokens = _TOKEN.findall(text or "")
-        if len(self.known) > REMEMBERED:
-            self.clear()
-        fresh = [t for t in set(tokens) if t not in self.known]
-        for t in fresh:
-            self.known[t] = len(self.facts)
-            self.facts.append((_hash(t.lower().encode()), bool(_NUMERIC.fullmatch(t)), t.lower() in UNITS, t[0].isupper(), t in _ENDS))
-        if fresh or self.table is None:
-            start = 0 if self.table is None else len(self.table[0])
-            new = self.facts[start:]
-            cols = [np.array([f[k] for f in new], np.uint64 if k == 0 else bool) for k in range(5)]
-            self.table = cols if self.table is None else [np.concatenate(p) for p in zip(self.table, cols, strict=True)]
-        rows = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
-        word, number, unit, capital, end = (c[rows] for c in self.table)
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        for t in set(tokens).difference(known):
+            known[t] = self._row(t)
+        if not self.table or len(self.table[0]) < len(self.facts):
+            self.table = [np.array([f[k] for f in self.facts], kind) for k, kind in enumerate((np.uint64, bool, bool))]
+        rows = np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
+        ends = rows == self.END
         begins = np.ones(len(rows), bool)
-        begins[1:] = end[:-1]
+        begins[1:] = ends[:-1]
         after_number = np.zeros(len(rows), bool)
-        after_number[1:] = number[:-1]
-        kind = np.where(number, NUMBER, np.where(unit & after_number, UNIT, np.where(capital & ~begins, NAME, 0)))
-        for slot, name in _SLOTS.items():
-            word = np.where(kind == slot, np.uint64(_hash(name)), word)
-        keep = np.flatnonzero(~end)
-        return [tokens[i] for i in keep.tolist()], word[keep], kind[keep]
+        after_number[1:] = rows[:-1] == self.NUM
+        keep = np.flatnonzero(~ends)
+        rows, begins, after_number = rows[keep], begins[keep], after_number[keep]
+        word, unit, capital = (c[rows] for c in self.table)
+        kind = np.where(rows == self.NUM, NUMBER, np.where(unit & after_number, UNIT, np.where(capital & ~begins, NAME, 0)))
+        word[kind == UNIT] = _hash(_SLOTS[UNIT])
+        named = word.copy()
+        named[kind == NAME] = _hash(_SLOTS[NAME])
+        return tokens, keep, named, word, kind
 
 
 def _usable(kind: np.ndarray, size: int) -> np.ndarray:
@@ -89,36 +110,49 @@ class Templates:
     """The template windows of a block of items: sorted hashes with item and place, one table for each window length."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
-        canon, self.items, tables = Canon(), {}, {}
+        canon, self.items, self.vocabulary, tables = Canon(), {}, set(), {}
         for item, text in items:
-            tokens, hashes, kind = canon(text)
-            if not tokens:
+            tokens, keep, named, plain, kind = canon(text)
+            words = [tokens[i] for i in keep]
+            if not words:
                 continue
-            self.items[item] = (tokens, hashes, kind)
-            size = min(WINDOW, len(tokens))
-            usable = np.flatnonzero(_usable(kind, size))
-            tables.setdefault(size, []).append((windows(hashes, size)[usable], np.full(len(usable), item), usable))
+            self.items[item] = (words, named, kind)
+            self.vocabulary.update(w.lower() for w in words)
+            size = min(WINDOW, len(words))
+            for form, slots in ((named, kind), (plain, np.where(kind == NAME, 0, kind))):
+                usable = np.flatnonzero(_usable(slots, size))
+                tables.setdefault(size, []).append((windows(form, size)[usable], np.full(len(usable), item), usable))
         self.tables = {}
         for size, parts in tables.items():
             keys, owner, place = (np.concatenate(p) for p in zip(*parts, strict=True))
             order = np.argsort(keys, kind="stable")
-            self.tables[size] = keys[order], owner[order], place[order]
+            # Which low bits of hashes occur at all: tells most other hashes apart at once.
+            some = np.zeros(1 << 22, bool)
+            some[(keys & np.uint64(len(some) - 1)).astype(np.int64)] = True
+            self.tables[size] = keys[order], owner[order], place[order], some
+
+    def canon(self) -> Canon:
+        """For texts that are compared with these items."""
+        return Canon(self.vocabulary)
 
     def alignments(self, canon: Canon, text: str | None) -> Iterator[tuple[int, int, int, float, float, bool]]:
         """(item, first and last token, coverage, consistency, verbatim) of each item that the text contains."""
-        tokens, hashes, kind = canon(text)
+        tokens, keep, named, plain, kind = canon(text)
+        forms = [named, plain] if (kind == NAME).any() else [named]
         met: dict[tuple[int, int], None] = {}
-        for size, (keys, owner, place) in self.tables.items():
-            own = windows(hashes, size)
-            at = np.searchsorted(keys, own)
-            for spot in np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == own if len(keys) else np.zeros(0, bool)).tolist():
-                k = int(at[spot])
-                while k < len(keys) and keys[k] == own[spot]:
+        for (size, (keys, owner, place, some)), form in product(self.tables.items(), forms):
+            own = windows(form, size)
+            spots = np.flatnonzero(some[(own & np.uint64(len(some) - 1)).astype(np.int64)])
+            low, high = np.searchsorted(keys, own[spots]), np.searchsorted(keys, own[spots], "right")
+            for spot, a, b in zip(spots.tolist(), low.tolist(), high.tolist(), strict=True):
+                for k in range(a, b):
                     met[int(owner[k]), spot - int(place[k])] = None
-                    k += 1
+        if not met:
+            return
+        words = [tokens[i] for i in keep.tolist()]
         best: dict[int, tuple] = {}
         for item, shift in met:
-            found = self._compare(item, shift, tokens, hashes)
+            found = self._compare(item, shift, words, named)
             if found and (item not in best or found[2:4] > best[item][2:4]):
                 best[item] = found
         for item, found in sorted(best.items()):
@@ -179,7 +213,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def _finder(block: list, kind: str):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        canon, templates = Canon(), Templates(block)
+        templates = Templates(block)
+        canon = templates.canon()
         for batch in batches:
             found = [(k, *a) for k, text in enumerate(batch["text"]) for a in templates.alignments(canon, text)]
             if found:
@@ -201,7 +236,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def _contains(block: list):
     @F.pandas_udf("boolean")
     def contains(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        canon, templates = Canon(), Templates(block)
+        templates = Templates(block)
+        canon = templates.canon()
         for batch in texts:
             yield pd.Series([next(templates.alignments(canon, t), None) is not None for t in batch], dtype=bool)
 
