@@ -3,7 +3,7 @@
 A text becomes a sequence of canonical tokens: numbers, units (after a number) and names (capitalised inside a
 sentence) turn into typed placeholders, other words lose their case. Windows of canonical tokens are hash-joined with
 those of the benchmark; windows of one item at one distance form an alignment. An alignment counts if it covers enough
-of the item and if the slots' values are consistent: wherever the item repeats a value, so does the document.
+of the item, or a long run of its tokens, and if the slots' values are consistent: wherever the item repeats a value, so does the document.
 """
 
 import re
@@ -22,6 +22,8 @@ WINDOW = 8
 LITERAL = 4
 #: Share of an item's tokens that an alignment covers at least.
 COVERAGE = 0.5
+#: Or: tokens in a row that agree, and how many of them must be plain words.
+RUN, RUN_LITERAL = 13, 8
 #: Share of the aligned slots that keep to one value for one value.
 CONSISTENT = 0.8
 #: Template windows that are sent to the workers at once (16 bytes each); a larger benchmark goes in blocks.
@@ -158,6 +160,14 @@ class Templates:
         for item, found in sorted(best.items()):
             yield item, *found
 
+    @staticmethod
+    def _long_run(same: np.ndarray, kind: np.ndarray) -> bool:
+        """Whether some ``RUN`` places in a row agree and enough of them are plain words."""
+        if len(same) < RUN:
+            return False
+        plain = np.concatenate([[0], np.cumsum(kind[same] == 0)])
+        return bool(((same[RUN - 1 :] - same[: len(same) - RUN + 1] == RUN - 1) & (plain[RUN:] - plain[:-RUN] >= RUN_LITERAL)).any())
+
     def _compare(self, item: int, shift: int, tokens: list[str], hashes: np.ndarray) -> tuple[int, int, float, float, bool] | None:
         words, wanted, kind = self.items[item]
         low, high = max(0, -shift), min(len(words), len(tokens) - shift)
@@ -165,7 +175,7 @@ class Templates:
         plain = np.fromiter((words[i].lower() == tokens[i + shift].lower() for i in range(low, high)), bool, max(0, high - low))
         same = np.flatnonzero(plain | (wanted[low:high] == hashes[low + shift : high + shift])) + low
         covered = len(same) / len(words)
-        if covered < COVERAGE:
+        if covered < COVERAGE and not self._long_run(same, kind):
             return None
         slots = [(int(kind[i]), words[i].lower(), tokens[i + shift].lower()) for i in same.tolist() if kind[i]]
         there: dict[tuple[int, str], str] = {}

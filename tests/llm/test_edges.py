@@ -165,6 +165,12 @@ def test_decontaminate_edges(spark, odd, none):
     assert (1, 1) in found and not found[1, 1].verbatim and found[1, 1].consistency == 1
     assert (2, 1) not in found and not any(d in (3, 4, 5) for d, _ in found)
     assert (6, 1) in found and found[6, 1].verbatim
+    # A part of an item is enough if it is long.
+    item = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    words = item.split()
+    parts = [(1, "x " + " ".join(words[20:34]) + " y"), (2, "x " + " ".join(words[20:30]) + " y")]
+    part = decontaminate.contaminated(spark.createDataFrame(parts, "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string"))
+    assert [r.doc_id for r in part.collect()] == [1]
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, items).collect()} == {(6, 3), (7, 3)}
     assert decontaminate.contaminated(odd, items).count() == 3
     assert decontaminate.contaminated(none, items).count() == 0 and decontaminate.contaminated(odd, items.limit(0)).count() == 0
