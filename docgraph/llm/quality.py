@@ -78,10 +78,20 @@ def add_contexts(table: np.ndarray, index: np.ndarray, rows: np.ndarray, shapes:
     """Adds to each unit's row the index vectors of the units and shapes around it."""
     for at in range(0, len(rows), PIECE):
         r, s = rows[at : at + PIECE + SPAN], shapes[at : at + PIECE + SPAN]
+        own = index[r] + index[s]
+        around = np.zeros_like(own)
         for shift in range(1, SPAN + 1):
-            np.add.at(table, r[:-shift], index[r[shift:]] + index[s[shift:]])
-            np.add.at(table, r[shift:], index[r[:-shift]] + index[s[:-shift]])
-        np.add.at(table, s, index[r])
+            around[:-shift] += own[shift:]
+            around[shift:] += own[:-shift]
+        _add_rows(table, r, around)
+        _add_rows(table, s, index[r])
+
+
+def _add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """``table[rows] += values`` where rows repeat."""
+    order = np.argsort(rows, kind="stable")
+    which, starts = np.unique(rows[order], return_index=True)
+    table[which] += np.add.reduceat(values[order], starts, axis=0)
 
 
 def pool(vectors: np.ndarray, rows: np.ndarray, shapes: np.ndarray) -> np.ndarray:
@@ -183,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pd.DataFrame({"table": [table.tobytes()]})
 
     table = np.zeros((ROWS, DIM), np.int64)
-    for part in rows.coalesce(PARTIALS).mapInPandas(contexts, "table binary").toLocalIterator():
+    for part in rows.coalesce(PARTIALS).mapInPandas(contexts, "table binary").collect():
         table += np.frombuffer(part[0], np.int32).reshape(ROWS, DIM)
     vectors = (table + index).astype(np.float32)
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-6
