@@ -1,10 +1,11 @@
 """Token ids in flat binary files with 64-bit document offsets."""
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -18,13 +19,16 @@ from docgraph.plans.durable import shared_path
 #: The id that ends each document.
 END = 1
 #: Words whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 1_000_000
+#: Unknown words that are encoded in one call.
+TOGETHER = 2_000
 #: Bytes of text that one part aims at.
 PART_BYTES = 32 << 20
 #: The largest documents are cut here when ids are turned into bytes, never in the files.
 PIECE = 1 << 20
 
-_BLANKS = re.compile(r"[ \n]+")
+#: A full stop or comma at the end of a word: a piece of its own after a letter or digit.
+_TAIL = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n]|\Z)")
 
 
 def id_type(vocabulary: int) -> str:
@@ -32,43 +36,86 @@ def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
+def vocabulary_type(spark: SparkSession, tokenizer: str, end: int = END) -> str:
+    """The type for a tokenizer's ids; the tokenizer is read by a worker, not by the driver."""
+
+    def size(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"size": [len(Encoder.kept(tokenizer, "<u4").last)] * len(batch)})
+
+    return id_type(max(end + 1, spark.range(1).mapInPandas(size, "size long").first()[0]))
+
+
 class Encoder:
-    """Encodes texts word by word and remembers words.
+    """Encodes texts word by word and remembers words' ids as bytes.
 
-    Only for tokenizers that drop white space and never join across it, so that a text's ids are its words' ids in
-    order. Strings of special tokens in a text are ordinary text.
+    Only for tokenizers that fold case, drop white space and never join across it, so that a text's ids are its words'
+    ids in order. Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, text: str | None) -> list[int]:
-        words = _BLANKS.split(text or "")
-        known = self.known
-        if fresh := [w for w in set(words) if w not in known]:
-            if len(known) + len(fresh) > REMEMBERED:
-                known.clear()
-                fresh = list(set(words))
-            for at in range(0, len(fresh), 10_000):
-                part = fresh[at : at + 10_000]
-                known.update(zip(part, (tuple(e.ids) for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
-        return list(chain.from_iterable(map(known.__getitem__, words)))
+        self.dtype, self.known = dtype, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    @classmethod
+    def kept(cls, path: str, dtype: str):
+        """This process's encoder, which outlives a task: functions that travel by value start with empty globals."""
+        import tokenizers
+
+        held = vars(tokenizers).setdefault("_docgraph_encoders", {})
+        if (path, dtype) not in held:
+            held[path, dtype] = cls(path, dtype)
+        return held[path, dtype]
+
+    def learn(self, words: set[bytes]) -> None:
+        fresh = words.difference(self.known)
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.known.clear()
+            fresh = words
+        texts = {w: w.decode() for w in fresh}
+        plain = [w for w, t in texts.items() if t.isalpha()]
+        other = [w for w, t in texts.items() if not t.isalpha()]
+        for at in range(0, len(plain), TOGETHER):
+            part = plain[at : at + TOGETHER]
+            found = self.tokenizer.encode_batch_fast([" ".join([texts[w] for w in part])], add_special_tokens=False)[0]
+            ids = np.array(found.ids, self.dtype)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            # Words of letters alone are one piece each, and each piece ends with an id of an end.
+            if len(ends) == len(part):
+                self._keep(part, ids, ends)
+            else:
+                other += part
+        for at in range(0, len(other), TOGETHER):
+            part = other[at : at + TOGETHER]
+            found = self.tokenizer.encode([texts[w] for w in part], is_pretokenized=True, add_special_tokens=False)
+            self._keep(part, np.array(found.ids, self.dtype), np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part))))
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        raw = ids.tobytes()
+        self.known.update(zip(words, (raw[a:b] for a, b in pairwise([0, *(ends * ids.itemsize).tolist()])), strict=True))
+
+    def encode(self, text: str | None) -> bytes:
+        """The text's ids, one after the other, in the encoder's type."""
+        words = _TAIL.sub(rb" \1", (text or "").encode().lower()).split()
+        self.learn(set(words))
+        return b"".join(map(self.known.__getitem__, words))
 
 
 def _writer(path: str, tokenizer: str, end: int, dtype: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder, last = Encoder.kept(tokenizer, dtype), np.array([end], dtype).tobytes()
         part, pieces, ids, ends, nulls, at = TaskContext.get().partitionId(), [], [], [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                tokens = encoder.encode(text.as_py())
-                tokens.append(end)
-                pieces.append(np.array(tokens, dtype).tobytes())
-                at += len(tokens)
+                pieces.append(encoder.encode(text.as_py()) + last)
+                at += len(pieces[-1]) // len(last)
                 ids.append(doc_id or 0)
                 nulls.append(doc_id is None)
                 ends.append(at)
@@ -94,10 +141,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     An empty table writes an index without parts. Returns (part, docs, tokens, base) of each part.
     """
     spark = docs.sparkSession
-    if dtype is None:
-        from tokenizers import Tokenizer
-
-        dtype = id_type(max(end + 1, Tokenizer.from_file(tokenizer).get_vocab_size()))
+    dtype = dtype or vocabulary_type(spark, tokenizer, end)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES), min(size >> 20, spark.sparkContext.defaultParallelism))
@@ -159,8 +203,5 @@ def tokens_of(path: str, part: int, dtype: str) -> list[np.ndarray]:
 
 def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
     """Writes token files to the shared folder and reads each document's place and checksum back from them."""
-    from tokenizers import Tokenizer
-
-    path = shared_path(docs.sparkSession, "tokens")
-    dtype = id_type(max(end + 1, Tokenizer.from_file(tokenizer).get_vocab_size()))
+    path, dtype = shared_path(docs.sparkSession, "tokens"), vocabulary_type(docs.sparkSession, tokenizer, end)
     return read_tokens(write_tokens(docs, path, tokenizer, id_col, text_col, end, dtype), path, dtype)
