@@ -24,7 +24,7 @@ BASE = 0x9E3779B97F4A7C15
 #: Windows that a task gathers before it deals them out.
 GATHERED = 1 << 20
 #: Windows that one bucket aims at: 24 bytes each in the task that counts it.
-BUCKET_WINDOWS = 1 << 22
+BUCKET_WINDOWS = 5 << 19
 #: Characters of text behind a window, for the number of buckets: a window starts at each word.
 CHARS_PER_WINDOW = 5
 REMEMBERED = 200_000
@@ -205,6 +205,8 @@ def _count(groups: int):
         ids, ties = np.concatenate(owners, axis=1)
         order = np.argsort(hashes, kind="stable")
         h, d, p = hashes[order], doc[order], place[order]
+        # The unsorted arrays are as large as the sorted ones.
+        del blobs, hashes, doc, place, order
         first = _first_of(h)
         least = np.minimum.reduceat(ids[d], np.unique(first)) if len(h) else ids[:0]
         again = ids[d] > np.repeat(least, np.diff(np.append(np.unique(first), len(h))))
