@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from docgraph.graph.model import HEAVY, Graph
 from docgraph.operators import algorithms
+from docgraph.plans.durable import cut
 
 #: Components that are listed, and members of each; the DataFrames hold all.
 LISTED, MEMBERS = 50, 10
@@ -108,17 +109,15 @@ def neighborhood(graph: Graph, node: str, depth: int = 1, limit: int = 100) -> d
 
 
 def connected_components(graph: Graph, node_type: str | None = None) -> dict:
-    found = algorithms.components(graph, node_type)
+    found = cut(algorithms.components(graph, node_type))
     # Members beyond those listed are counted, not gathered.
-    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-    sizes = sizes.persist()
+    sizes = cut(found.groupBy("component").agg(F.count("*").alias("size")))
     total = sizes.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("nodes"), F.coalesce(F.max("size"), F.lit(0)).alias("largest"), F.coalesce(F.min("size"), F.lit(0)).alias("smallest")).first()
     shown = sizes.orderBy(F.desc("size"), "component").limit(LISTED).collect()
     out = []
     for r in shown:
         members = [x.id for x in found.filter(F.col("component") == r.component).orderBy("id").limit(MEMBERS).select("id").collect()]
         out.append({"component_id": len(out), "size": r["size"], "members": members} | ({"more": r["size"] - len(members)} if r["size"] > len(members) else {}))
-    sizes.unpersist()
     return {"total_components": total.n, "total_nodes": total.nodes, "largest_component_size": total.largest, "smallest_component_size": total.smallest, "avg_component_size": total.nodes / total.n if total.n else 0.0, "components": out}
 
 
@@ -145,7 +144,7 @@ def all_distances(graph: Graph, source: str | None = None, all: Any = False, max
 
 
 def community_detection(graph: Graph, max_iterations: int = 10, min_community_size: int = 2, members: Any = False, node_type: str | None = None) -> dict:
-    found = algorithms.communities(graph, max_iterations, node_type)
+    found = cut(algorithms.communities(graph, max_iterations, node_type))
     sizes = found.groupBy("community").agg(F.count("*").alias("size"))
     kept = sizes.filter(F.col("size") >= min_community_size)
     total = found.count()

@@ -38,6 +38,7 @@ def spread(steps: DataFrame, start: DataFrame, most: int | None) -> DataFrame:
     distance 0. Stops when a level is empty or after ``most`` levels.
     """
     steps = steps.select(F.col("src").alias("id"), "dst")
+    steps = steps if most == 1 else cut(steps)
     seen = cut(start.select("source", "id", F.lit(0).alias("distance")).distinct())
     front, level = seen, 0
     while most is None or level < most:
@@ -67,7 +68,7 @@ def shortest_path(graph: Graph, source: str, target: str, edge_type: str | None
     Not found: hops -1 and an empty path. Every level keeps the least path to each node it reaches for the first time.
     """
     spark = graph.spark
-    steps = graph.both(edge_type).select(F.col("src").alias("id"), "dst")
+    steps = cut(graph.both(edge_type).select(F.col("src").alias("id"), "dst"))
     front = spark.createDataFrame([(source, [source])], "id string, path array<string>")
     known = graph.nodes.filter(F.col("id").isin(source, target)).select("id").distinct().count()
     if known < len({source, target}):
@@ -99,7 +100,7 @@ def are_connected(graph: Graph, one: str, two: str, edge_type: str | None = None
         return answer(-1)
     if one == two:
         return answer(0)
-    steps = graph.both(edge_type).select(F.col("src").alias("id"), "dst")
+    steps = cut(graph.both(edge_type).select(F.col("src").alias("id"), "dst"))
     sides = [{"front": spark.createDataFrame([(n,)], "id string"), "size": 1, "seen": spark.createDataFrame([(n,)], "id string")} for n in (one, two)]
     for hops in range(1, most + 1):
         here, there = sorted(sides, key=lambda s: s["size"])
@@ -129,30 +130,35 @@ def export_coo(graph: Graph, node_types: list[str] | None = None, edge_types: li
     return ids, coo.select("src_idx", "dst_idx", "edge_type", "edge_type_id")
 
 
-def numbered(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
-    """Adds 0, 1, 2, ... in the order of ``key`` (unique values): range partitions, their sizes, then a running number."""
-    spread_out = cut(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id()))
-    # One number for each partition.
-    sizes = sorted(tuple(r) for r in spread_out.groupBy("__part").count().collect())
+def running(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows with a smaller ``key`` (unique values).
+
+    Range partitions are summed, the sums of those before shift each; so no single task sees all rows.
+    """
+    spread_out = cut(df.repartitionByRange(key).withColumn("__part", F.spark_partition_id()))
+    # One sum for each partition.
+    sums = sorted((r[0], r[1]) for r in spread_out.groupBy("__part").agg(F.sum(value)).collect())
     bases, total = [], 0
-    for part, size in sizes:
+    for part, amount in sums:
         bases.append((part, total))
-        total += size
+        total += amount or 0
     first = df.sparkSession.createDataFrame(bases or [(0, 0)], "__part int, __base long")
-    turn = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
-    return spread_out.withColumn(name, turn).join(F.broadcast(first), "__part").withColumn(name, F.col(name) + F.col("__base")).select(name, *df.columns)
+    before = F.coalesce(F.sum(value).over(Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return spread_out.withColumn(name, before).join(F.broadcast(first), "__part").withColumn(name, (F.col(name) + F.col("__base")).cast("long")).select(*df.columns, name)
+
+
+def numbered(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
+    """Adds 0, 1, 2, ... in the order of ``key`` (unique values)."""
+    return running(df.withColumn("__one", F.lit(1).cast("long")), key, "__one", name).select(name, *df.columns)
 
 
 def export_csr(graph: Graph, node_types: list[str] | None = None, edge_types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, columns): rows(idx, start, degree) is the row pointer, columns(position, src_idx, dst_idx, edge_type_id) the sorted edges.
 
-    Each edge type id stays with its edge.
+    Each edge type id stays with its edge; a node without edges starts where the next one does.
     """
     ids, coo = export_coo(graph, node_types, edge_types)
     columns = numbered(coo.select(F.struct("src_idx", "dst_idx", "edge_type_id").alias("e")), "e", "position").select("position", "e.src_idx", "e.dst_idx", "e.edge_type_id")
-    firsts = columns.groupBy("src_idx").agg(F.min("position").alias("start"), F.count("*").alias("degree"))
-    held = ids.select("idx").join(firsts, F.col("idx") == F.col("src_idx"), "left").select("idx", "start", F.coalesce("degree", F.lit(0)).alias("degree"))
-    # A node without edges starts where the next one does.
-    total = columns.count()
-    later = Window.orderBy("idx").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return held.select("idx", F.coalesce(F.first("start", ignorenulls=True).over(later), F.lit(total)).alias("start"), "degree"), columns
+    degrees = coo.groupBy(F.col("src_idx").alias("idx")).agg(F.count("*").alias("degree"))
+    held = ids.select("idx").join(degrees, "idx", "left").fillna(0, ["degree"])
+    return running(held, "idx", "degree", "start").select("idx", "start", "degree"), columns
