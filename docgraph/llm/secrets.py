@@ -100,6 +100,7 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
         (F.substring(hexes("b", 64), F.lit(1), size(24, 64, "s")), paths, before(good, assigned), 1),
         (F.substring(mixed("c", 64), F.lit(1), size(20, 64, "t")), paths, before(good, assigned), 1),
         (F.concat(pick(PREFIXES, "p"), mixed("d", 36)), paths, before(("", "use ", "key ", "login with "), (' "', " ", "=")), 1),
+        (F.concat(pick(("AKIA", "ASIA"), "p"), F.upper(mixed("q", 16))), paths, before(("", "use ", "key ", "id "), (' "', " ", "=", ": ")), 1),
         (mixed("e", 40), paths, before(("password", "bearer", "authorization"), (": ", " ", "=")), 1),
         (hexes("f", 40), paths, before(bad, assigned + plain), 0),
         (hexes("g", 64), tests, before(bad, assigned + plain), 0),
