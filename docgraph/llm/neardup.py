@@ -6,14 +6,15 @@ within four bits in either are candidates, found by Golay keys. A pair is a link
 a similarity (intersection over union) of 0.8 or more; groups are what links connect.
 
 A group of n near copies has about n^2 candidate pairs. So each cluster of candidates first compares its members with
-its most central text (n pairs); what these links have already connected needs no more comparisons, and all other
-candidate pairs are then verified too.
+its most central text (n pairs). Where that leaves a cluster in several groups, its members are compared in blocks: a
+task holds two blocks, compares what is within four bits and not connected yet, and returns links alone.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,6 +25,8 @@ from docgraph.plans.durable import cut
 SIZE = 5
 SIMILARITY = 0.8
 SEEDS = (42, 43)
+#: Texts of a cluster that one side of a comparison holds.
+BLOCK = 500
 
 
 def _prints(text: Column) -> Column:
@@ -63,56 +66,84 @@ def _similarity(one: Column, two: Column) -> Column:
     return run(one, two)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough."""
-    pairs = cut(pairs.distinct())
-    used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = texts.join(used, "id", "left_semi").dropDuplicates(["id"]).select("id", _shingles(F.col("text"), size).alias("set"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("t")), "b")
-    return cut(both.filter(_similarity(F.col("s"), F.col("t")) >= similarity).select("a", "b"))
+    return both.filter(_similarity(F.col("s"), F.col("t")) >= similarity).select("a", "b")
 
 
-def _clusters(texts: DataFrame, column: str) -> DataFrame:
-    """(cluster, id, p0, p1) of the texts that have a candidate by this fingerprint."""
-    root = connected_components(simhash.links(texts.select(F.col(column).alias("print")))).select(F.col("node").alias(column), F.col("component").alias("root"))
-    held = texts.join(root, column, "left").select("id", "p0", "p1", F.coalesce("root", column).alias("cluster"))
-    several = held.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1")
-    return cut(held.join(several.select("cluster"), "cluster"))
+def _candidates(texts: DataFrame, column: str) -> DataFrame:
+    """(a, b): edges between ids that connect all texts whose fingerprints are within four bits."""
+    heads = cut(texts.groupBy(F.col(column).alias("print")).agg(F.min("id").alias("head"), F.count("*").alias("n")))
+    same = texts.join(heads.filter("n > 1"), F.col(column) == F.col("print")).filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    found = simhash.links(heads.select("print"))
+    near = found.join(heads.select(F.col("print").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("print").alias("b"), F.col("head").alias("y")), "b")
+    return same.union(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
-def _to_centres(members: DataFrame) -> DataFrame:
-    """(a, b): each member with the text that is nearest to the cluster's bitwise majority."""
+def _centres(members: DataFrame) -> DataFrame:
+    """(cluster, centre): the text that is nearest to the bitwise majority of a cluster's fingerprints."""
     votes = members.groupBy("cluster").agg(F.count("*").alias("n"), *[F.sum(F.shiftright(p, i).bitwiseAND(F.lit(1).cast("long"))).alias(f"{p}_{i}") for p in ("p0", "p1") for i in range(64)])
     value = lambda p: sum((F.shiftleft((2 * F.col(f"{p}_{i}") > F.col("n")).cast("long"), i) for i in range(1, 64)), (2 * F.col(f"{p}_0") > F.col("n")).cast("long"))
-    middle = cut(votes.select("cluster", value("p0").alias("m0"), value("p1").alias("m1")))
+    middle = votes.select("cluster", value("p0").alias("m0"), value("p1").alias("m1"))
     away = F.bit_count(F.col("p0").bitwiseXOR(F.col("m0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("m1")))
-    centre = members.join(middle, "cluster").groupBy("cluster").agg(F.min(F.struct(away.alias("away"), "id")).alias("c")).select("cluster", F.col("c.id").alias("centre"))
-    return members.join(centre, "cluster").filter("id <> centre").select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b"))
-
-
-def _across(members: DataFrame, column: str, group: DataFrame, most: int = simhash.MAX_BITS) -> DataFrame:
-    """(a, b): all candidate pairs that links have not connected yet, from clusters that still hold several groups."""
-    held = members.join(group, members["id"] == group["node"], "left").select("cluster", members["id"], F.col(column).alias("print"), F.coalesce("component", members["id"]).alias("component"))
-    open_ = held.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("cluster")
-    rest = held.join(open_, "cluster").select("id", "print", "component")
-
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = simhash.golay_table()
-        for batch in batches:
-            for at in range(0, len(batch), 20_000):
-                part = batch.iloc[at : at + 20_000]
-                rows, keys = simhash.golay_keys(part["print"].to_numpy(np.int64).view(np.uint64), table)
-                out = part.iloc[rows]
-                yield out.assign(key=keys)
-
-    kind = dict(members.dtypes)["id"]
-    keys = rest.mapInPandas(keyed, f"id {kind}, print long, component {kind}, key long")
-    one, two = keys.alias("x"), keys.alias("y")
-    met = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.component") != F.col("y.component")))
-    return met.filter(F.bit_count(F.col("x.print").bitwiseXOR(F.col("y.print"))) <= most).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return members.join(middle, "cluster").groupBy("cluster").agg(F.min(F.struct(away.alias("away"), "id")).alias("c")).select("cluster", F.col("c.id").alias("centre"))
+
+
+def _compared(similarity: float, most: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Links between different groups within a block, or between two blocks of a cluster."""
+        ids, group, side = (table.column(c).to_pylist() for c in ("id", "component", "side"))
+        prints = [table.column(c).to_numpy().view(np.uint64) for c in ("p0", "p1")]
+        sets = [np.frombuffer(v.as_py(), np.uint64) for v in table.column("set")]
+        sizes, side = np.array([len(x) for x in sets]), np.array(side)
+        root = {g: g for g in group}
+
+        def find(g):
+            while root[g] != g:
+                root[g] = g = root[root[g]]
+            return g
+
+        links = []
+        two_blocks = side.min() != side.max()
+        for i in range(len(ids) - 1):
+            j = np.arange(i + 1, len(ids))
+            near = np.minimum(*[np.bitwise_count(p[i] ^ p[j]) for p in prints]) <= most
+            # Sets of very different sizes cannot be similar.
+            near &= np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j])
+            if two_blocks:
+                near &= side[i] != side[j]
+            for k in j[near].tolist():
+                if (a := find(group[i])) == (b := find(group[k])):
+                    continue
+                both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                whole = sizes[i] + sizes[k] - both
+                if not whole or both / whole >= similarity:
+                    root[max(a, b)] = min(a, b)
+                    links.append((ids[i], ids[k]))
+        kind = table.schema.field("id").type
+        return pa.table({"a": pa.array([a for a, _ in links], kind), "b": pa.array([b for _, b in links], kind)})
+
+    return run
+
+
+def _across(open_: DataFrame, similarity: float, block: int, most: int = simhash.MAX_BITS) -> DataFrame:
+    """(a, b): links between groups of one cluster that are not connected yet.
+
+    ``open_`` holds (cluster, n, id, p0, p1, component, set) of clusters with several groups. A cluster of n texts is cut
+    into n / ``block`` blocks and every two blocks meet in one task, so that no task holds more than two; comparisons
+    stay in the task, which returns links alone.
+    """
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    placed = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    # One block alone has one meeting; of several, each meets every other, and its own members in the meeting with the next.
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).withColumn("side", F.col("block"))
+    kind = dict(open_.dtypes)["id"]
+    return dealt.select("cluster", "low", "high", "side", "id", "component", "p0", "p1", "set").groupBy("cluster", "low", "high").applyInArrow(_compared(similarity, most), f"a {kind}, b {kind}")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(id, group) for each row of ``docs`` with an id: the smallest id of its group of near-duplicates, itself included.
 
     Null and empty texts are equal texts. Repeated rows stay repeated. Rows without an id are left out.
@@ -120,13 +151,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     rows = cut(source.select("id", _prints(F.col("text")).alias("p")).select("id", "p.*"))
     texts = cut(rows.groupBy("whole").agg(F.min("id").alias("id"), F.first("p0").alias("p0"), F.first("p1").alias("p1")))
-    members = {c: _clusters(texts, c) for c in ("p0", "p1")}
-    links = _verified(_to_centres(members["p0"]).union(_to_centres(members["p1"])), source, size, similarity)
-    group = cut(connected_components(links))
-    more = _verified(_across(members["p0"], "p0", group).union(_across(members["p1"], "p1", group)), source, size, similarity)
-    final = connected_components(links.union(more))
-    named = texts.join(final, texts["id"] == final["node"], "left").select("whole", F.coalesce("component", "id").alias("group"))
-    return rows.select("id", "whole").join(named, "whole").select(F.col("id").alias(id_col), "group")
+    clusters = connected_components(_candidates(texts, "p0").union(_candidates(texts, "p1")))
+    members = cut(texts.join(clusters, texts["id"] == clusters["node"]).select("id", "p0", "p1", F.col("component").alias("cluster")))
+    sets = cut(source.join(members.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", _shingles(F.col("text"), size).alias("set")))
+    star = members.join(_centres(members), "cluster").filter("id <> centre").select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b"))
+    group = connected_components(_verified(star, sets, similarity))
+    held = cut(members.join(group, members["id"] == group["node"], "left").select("cluster", "id", "p0", "p1", F.coalesce("component", "id").alias("component")))
+    several = held.groupBy("cluster").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("cluster", "n")
+    more = _across(held.join(several, "cluster").join(sets, "id"), similarity, block)
+    # A group's edges to its name and the links between groups.
+    named = connected_components(held.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+    labels = texts.join(named, texts["id"] == named["node"], "left").select("whole", F.coalesce("component", "id").alias("group"))
+    return rows.select("id", "whole").join(labels, "whole").select(F.col("id").alias(id_col), "group")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
