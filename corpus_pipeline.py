@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docgraph.llm import decontaminate, mixing, quality, tokenids
 from docgraph.llm.neardup import one_of_each
-from docgraph.llm.queries import tokenizer_path
+from docgraph.llm.tables import documents, tokenizer_path
 from docgraph.plans.durable import shared_path
 
 
@@ -48,7 +48,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     folder = shared_path(spark, "pipeline")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

@@ -1,6 +1,7 @@
 """A quality classifier: random-indexing word vectors, pooled per document, and a two-layer network with calibrated probabilities."""
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -183,19 +184,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = usable.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = cut(texts.join(F.broadcast(cut(chosen)), "id").select("id", "label", "text").repartition(PARTIALS * 2, "id"))
-    index = index_vectors(seed)
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        units, table = Units(), np.zeros((ROWS, DIM), np.int32)
+        index, units, table = index_vectors(seed), Units(), np.zeros((ROWS, DIM), np.int32)
         for batch in batches:
             for text in batch["text"]:
                 add_contexts(table, index, *units(text))
-        yield pd.DataFrame({"table": [table.tobytes()]})
+        yield pd.DataFrame({"table": [zlib.compress(table.tobytes(), 1)]})
 
     table = np.zeros((ROWS, DIM), np.int64)
     for part in rows.coalesce(PARTIALS).mapInPandas(contexts, "table binary").collect():
-        table += np.frombuffer(part[0], np.int32).reshape(ROWS, DIM)
-    vectors = (table + index).astype(np.float32)
+        table += np.frombuffer(zlib.decompress(part[0]), np.int32).reshape(ROWS, DIM)
+    vectors = (table + index_vectors(seed)).astype(np.float32)
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-6
 
     def pooled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

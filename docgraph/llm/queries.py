@@ -3,16 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docgraph.llm import decontaminate, gif, licences, mixing, quality, secrets, sharding, simhash, substrings, tokenids
-
-
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
+from docgraph.llm.tables import documents, tokenizer_path
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
