@@ -111,7 +111,7 @@ def _gather(size: int, buckets: int):
     return run
 
 
-_DEALT = ("hashes", "docs", "places", "own")
+_DEALT = ("hashes", "spots", "own")
 
 
 def _deal(held: list, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -133,10 +133,12 @@ def _deal(held: list, buckets: int) -> Iterator[pa.RecordBatch]:
     h, d, p = h[~again], d[~again], p[~again]
     bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    rows = []
+    counts, rows = np.array([len(f) for _, _, f in held]), []
     for a, b in zip(starts, np.append(starts[1:], len(h)), strict=True):
-        own, spot = np.unique(d[a:b], return_inverse=True)
-        rows.append((int(bucket[a]), _pack_sorted(h[a:b]), _pack_small(spot), _pack_small(p[a:b]), _pack_documents(ids[own], ties[own])))
+        # A window's place among all windows of the row's documents tells its document and its place there.
+        own, rank = np.unique(d[a:b], return_inverse=True)
+        begins = np.concatenate([[0], np.cumsum(counts[own])])
+        rows.append((int(bucket[a]), _pack_sorted(h[a:b]), _pack_spots(begins[rank] + p[a:b]), _pack_documents(ids[own], ties[own], counts[own])))
     for at in range(0, len(rows), 256):
         part = list(zip(*rows[at : at + 256], strict=True))
         none = pa.nulls(len(part[0]), pa.binary())
@@ -156,8 +158,17 @@ def _pack_small(values: np.ndarray) -> bytes:
     return (b"\4" if wide else b"\2") + values.astype("<u4" if wide else "<u2").tobytes()
 
 
-def _unpack_small(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, "<u4" if packed[0] == 4 else "<u2", -1, 1)
+def _pack_spots(values: np.ndarray) -> bytes:
+    """24 bits a value where that is enough, else 32; the first byte tells."""
+    wide = 4 if len(values) and int(values.max()) >= 1 << 24 else 3
+    return bytes([wide]) + values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :wide].tobytes()
+
+
+def _unpack_spots(packed: bytes) -> np.ndarray:
+    wide = packed[0]
+    out = np.zeros(((len(packed) - 1) // wide, 4), np.uint8)
+    out[:, :wide] = np.frombuffer(packed, np.uint8, -1, 1).reshape(-1, wide)
+    return out.view("<u4").ravel()
 
 
 def _pack_sorted(values: np.ndarray) -> bytes:
@@ -174,20 +185,23 @@ def _unpack_sorted(packed: bytes) -> np.ndarray:
     return high << np.uint64(32) | np.frombuffer(packed, "<u4", n, 9 + wide * n)
 
 
-def _pack_documents(ids: np.ndarray, ties: np.ndarray) -> bytes:
-    """Ascending ids as the first and the steps, 16 or 32 bits wide where that is enough; ties only if there are any."""
+def _pack_documents(ids: np.ndarray, ties: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending ids as the first and the steps, their windows' numbers, and ties only if there are any."""
     steps = np.diff(ids, prepend=ids[:1])
     tied = bool(ties.any())
     wide = 8 if int(steps.max()) >= 1 << 32 else 4 if int(steps.max()) >= 1 << 16 else 2
-    return bytes([wide, tied]) + np.array([len(ids), ids[0]], "<i8").tobytes() + steps.astype(f"<u{wide}").tobytes() + (ties.astype("<i8").tobytes() if tied else b"")
+    many = 4 if int(counts.max()) >= 1 << 16 else 2
+    head = bytes([wide, many, tied]) + np.array([len(ids), ids[0]], "<i8").tobytes()
+    return head + steps.astype(f"<u{wide}").tobytes() + counts.astype(f"<u{many}").tobytes() + (ties.astype("<i8").tobytes() if tied else b"")
 
 
 def _unpack_documents(packed: bytes) -> np.ndarray:
-    """Two rows: ids and ties."""
-    wide, tied = packed[0], packed[1]
-    n, first = np.frombuffer(packed, "<i8", 2, 2).tolist()
-    ids = np.cumsum(np.frombuffer(packed, f"<u{wide}", n, 18).astype(np.int64)) + first
-    return np.stack([ids, np.frombuffer(packed, "<i8", n, 18 + wide * n) if tied else np.zeros(n, np.int64)])
+    """Three rows: ids, ties and numbers of windows."""
+    wide, many, tied = packed[:3]
+    n, first = np.frombuffer(packed, "<i8", 2, 3).tolist()
+    ids = np.cumsum(np.frombuffer(packed, f"<u{wide}", n, 19).astype(np.int64)) + first
+    counts = np.frombuffer(packed, f"<u{many}", n, 19 + wide * n).astype(np.int64)
+    return np.stack([ids, np.frombuffer(packed, "<i8", n, 19 + (wide + many) * n) if tied else np.zeros(n, np.int64), counts])
 
 
 def _count(groups: int):
@@ -198,15 +212,22 @@ def _count(groups: int):
         if not blobs:
             return passed
         hashes = np.concatenate([_unpack_sorted(b["hashes"]) for b in blobs])
-        place = np.concatenate([_unpack_small(b["places"]).astype(np.uint32) for b in blobs])
-        owners = [_unpack_documents(b["own"]) for b in blobs]
-        base = np.concatenate([[0], np.cumsum([o.shape[1] for o in owners])])
-        doc = np.concatenate([_unpack_small(b["docs"]).astype(np.uint32) + np.uint32(k) for b, k in zip(blobs, base, strict=False)])
-        ids, ties = np.concatenate(owners, axis=1)
+        # Batches one after the other: documents, and windows, are numbered through.
+        spots, docs, windows_before = [], [], 0
+        for b in blobs:
+            documents = _unpack_documents(b["own"])
+            spots.append(_unpack_spots(b["spots"]).astype(np.int64) + windows_before)
+            docs.append(documents)
+            windows_before += int(documents[2].sum())
+        ids, ties, counts = np.concatenate(docs, axis=1)
+        begins = np.concatenate([[0], np.cumsum(counts)])
+        spots = np.concatenate(spots)
+        doc = (np.searchsorted(begins, spots, "right") - 1).astype(np.uint32)
+        place = (spots - begins[doc]).astype(np.uint32)
         order = np.argsort(hashes, kind="stable")
         h, d, p = hashes[order], doc[order], place[order]
         # The unsorted arrays are as large as the sorted ones.
-        del blobs, hashes, doc, place, order
+        del blobs, hashes, docs, spots, doc, place, order
         first = _first_of(h)
         least = np.minimum.reduceat(ids[d], np.unique(first)) if len(h) else ids[:0]
         again = ids[d] > np.repeat(least, np.diff(np.append(np.unique(first), len(h))))

@@ -112,9 +112,11 @@ def test_packing():
     for values in (rng.integers(0, 1 << 63, 500, dtype=np.uint64), np.arange(5, dtype=np.uint64), rng.integers(0, 1 << 63, 1, dtype=np.uint64)):
         values = np.sort(values)
         assert (substrings._unpack_sorted(substrings._pack_sorted(values)) == values).all()
-    for ids, ties in (([-5, 3, 3, 1 << 40], [0, 1, 2, 0]), ([7], [0]), ([0, 70_000], [0, 0])):
-        got = substrings._unpack_documents(substrings._pack_documents(np.array(ids), np.array(ties)))
-        assert got.tolist() == [ids, ties]
+    for ids, ties, counts in (([-5, 3, 3, 1 << 40], [0, 1, 2, 0], [1, 2, 3, 1 << 17]), ([7], [0], [9]), ([0, 70_000], [0, 0], [1, 1])):
+        got = substrings._unpack_documents(substrings._pack_documents(*map(np.array, (ids, ties, counts))))
+        assert got.tolist() == [ids, ties, counts]
+    for spots in ([0, 5, (1 << 24) - 1], [1 << 24, 3], []):
+        assert substrings._unpack_spots(substrings._pack_spots(np.array(spots, np.int64))).tolist() == spots
 
 
 def test_token_edges(spark, odd, none, tmp_path):
