@@ -465,5 +465,5 @@ def frame_aggregate(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Friend suggestions in the interaction graph."""
-    return algorithms.friend_suggestions(interactions(spark, sf_dir, True), "0")
+    """The most connected users of the interaction graph: mappings, building, degrees and a top-k in one plan."""
+    return algorithms.most_connected(interactions(spark, sf_dir), 10, "total", "User")
