@@ -1,13 +1,17 @@
-"""One document of each group of near-duplicates: SimHash candidates, verified by the overlap of word shingles.
+"""One document of each group of near-duplicates: SimHash and MinHash candidates, verified by the overlap of word shingles.
 
 Whole texts that are equal after lower-casing and joining words count once. Each other text gets two 64-bit SimHash
 fingerprints over its distinct words (a changed word moves few of their bits, while it breaks many shingles); texts
-within four bits in either are candidates, found by Golay keys. A pair is a link if the sets of five-word shingles have
-a similarity (intersection over union) of 0.8 or more; groups are what links connect.
+within four bits in either are candidates, found by Golay keys. An appended or missing passage moves more bits than
+that, so texts that share a band are candidates too: the MinHash minima of their five-word shingles, 32 bands of five.
+Two texts of similarity s share one with a probability of 1 - (1 - s^5)^32, which misses 3 of a million pairs at 0.8.
+A pair is a link if the sets of five-word shingles have a similarity (intersection over union) of 0.8 or more; groups
+are what links connect.
 
 A group of n near copies has about n^2 candidate pairs. So each cluster of candidates first compares its members with
-its most central text (n pairs). Where that leaves a cluster in several groups, its members are compared in blocks: a
-task holds two blocks, compares what is within four bits and not connected yet, and returns links alone.
+its most central text (n pairs). Where that leaves a cluster in several groups, all but the members of its largest group
+are compared with each other and with that group, in blocks: a task holds two blocks, compares the candidates that are
+not connected yet, and returns links alone.
 """
 
 from collections.abc import Iterator
@@ -16,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docgraph.llm import simhash
 from docgraph.plans.components import connected_components
@@ -25,12 +29,24 @@ from docgraph.plans.durable import cut
 SIZE = 5
 SIMILARITY = 0.8
 SEEDS = (42, 43)
+#: MinHash bands, and minima in each.
+BANDS, ROWS = 32, 5
+#: Odd factors: the order of shingles' hashes times one of them is one of the random orders.
+FACTORS = np.array([xxhash.xxh64_intdigest(str(i), 42) | 1 for i in range(BANDS * ROWS)], np.uint64)
 #: Texts of a cluster that one side of a comparison holds.
 BLOCK = 500
 
 
-def _prints(text: Column) -> Column:
-    @F.pandas_udf("whole string, p0 long, p1 long")
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """The keys of a text's bands, as signed integers; a key holds the number of its band."""
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 2048):
+        least = np.minimum(least, (shingles[at : at + 2048, None] * FACTORS).min(axis=0))
+    return np.array([xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64)
+
+
+def _prints(text: Column, size: int) -> Column:
+    @F.pandas_udf("whole string, p0 long, p1 long, bands array<long>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             rows = []
@@ -38,8 +54,8 @@ def _prints(text: Column) -> Column:
                 words = simhash.words_of(t)
                 distinct = list(set(words))
                 hashes = [np.fromiter((xxhash.xxh64_intdigest(w, s) for w in distinct), np.uint64, len(distinct)) for s in SEEDS]
-                rows.append((xxhash.xxh128_hexdigest(b" ".join(words)), *map(simhash.majority, hashes)))
-            yield pd.DataFrame(rows, columns=["whole", "p0", "p1"])
+                rows.append((xxhash.xxh128_hexdigest(b" ".join(words)), *map(simhash.majority, hashes), bands(simhash.shingle_hashes(words, size, 42))))
+            yield pd.DataFrame(rows, columns=["whole", "p0", "p1", "bands"])
 
     return run(text)
 
@@ -81,6 +97,12 @@ def _candidates(texts: DataFrame, column: str) -> DataFrame:
     return same.union(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
+def _banded(texts: DataFrame) -> DataFrame:
+    """(a, b): edges between ids that connect all texts that share a band."""
+    keyed = texts.select("id", F.explode("bands").alias("key"))
+    return keyed.select(F.col("id").alias("a"), F.first("id").over(Window.partitionBy("key").orderBy("id")).alias("b")).filter("a <> b").distinct()
+
+
 def _centres(members: DataFrame) -> DataFrame:
     """(cluster, centre): the text that is nearest to the bitwise majority of a cluster's fingerprints."""
     votes = members.groupBy("cluster").agg(F.count("*").alias("n"), *[F.sum(F.shiftright(p, i).bitwiseAND(F.lit(1).cast("long"))).alias(f"{p}_{i}") for p in ("p0", "p1") for i in range(64)])
@@ -96,6 +118,7 @@ def _compared(similarity: float, most: int):
         ids, group, side = (table.column(c).to_pylist() for c in ("id", "component", "side"))
         prints = [table.column(c).to_numpy().view(np.uint64) for c in ("p0", "p1")]
         sets = [np.frombuffer(v.as_py(), np.uint64) for v in table.column("set")]
+        keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         sizes, side = np.array([len(x) for x in sets]), np.array(side)
         root = {g: g for g in group}
 
@@ -109,6 +132,7 @@ def _compared(similarity: float, most: int):
         for i in range(len(ids) - 1):
             j = np.arange(i + 1, len(ids))
             near = np.minimum(*[np.bitwise_count(p[i] ^ p[j]) for p in prints]) <= most
+            near |= (keys[i] == keys[j]).any(axis=1)
             # Sets of very different sizes cannot be similar.
             near &= np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j])
             if two_blocks:
@@ -130,17 +154,21 @@ def _compared(similarity: float, most: int):
 def _across(open_: DataFrame, similarity: float, block: int, most: int = simhash.MAX_BITS) -> DataFrame:
     """(a, b): links between groups of one cluster that are not connected yet.
 
-    ``open_`` holds (cluster, n, id, p0, p1, component, set) of clusters with several groups. A cluster of n texts is cut
-    into n / ``block`` blocks and every two blocks meet in one task, so that no task holds more than two; comparisons
-    stay in the task, which returns links alone.
+    ``open_`` holds (cluster, main, most, rest, id, p0, p1, bands, component, set) of clusters with several groups: main
+    is the largest group, of ``most`` members, and ``rest`` is the number of the others. Both are cut into blocks of
+    about ``block`` texts, and every two blocks that are not both of the largest group meet in one task, so that no task
+    holds more than two; comparisons stay in the task, which returns links alone.
     """
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    placed = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    # One block alone has one meeting; of several, each meets every other, and its own members in the meeting with the next.
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).withColumn("side", F.col("block"))
+    few, many = (F.ceil(F.col(n) / block).cast("int") for n in ("rest", "most"))
+    placed = open_.withColumn("few", few).withColumn("many", many).withColumn("inside", F.col("component") == F.col("main"))
+    hashed = F.xxhash64("id")
+    placed = placed.withColumn("block", F.when(F.col("inside"), F.col("few") + F.pmod(hashed, "many")).otherwise(F.pmod(hashed, "few")).cast("int"))
+    # The blocks of the rest come first: they meet all blocks, themselves included; those of the largest group meet them alone.
+    last = F.when(F.col("inside"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), last))).withColumn("side", F.col("block"))
+    dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     kind = dict(open_.dtypes)["id"]
-    return dealt.select("cluster", "low", "high", "side", "id", "component", "p0", "p1", "set").groupBy("cluster", "low", "high").applyInArrow(_compared(similarity, most), f"a {kind}, b {kind}")
+    return dealt.select("cluster", "low", "high", "side", "id", "component", "p0", "p1", "bands", "set").groupBy("cluster", "low", "high").applyInArrow(_compared(similarity, most), f"a {kind}, b {kind}")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
@@ -149,15 +177,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     Null and empty texts are equal texts. Repeated rows stay repeated. Rows without an id are left out.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    rows = cut(source.select("id", _prints(F.col("text")).alias("p")).select("id", "p.*"))
-    texts = cut(rows.groupBy("whole").agg(F.min("id").alias("id"), F.first("p0").alias("p0"), F.first("p1").alias("p1")))
-    clusters = connected_components(_candidates(texts, "p0").union(_candidates(texts, "p1")))
-    members = cut(texts.join(clusters, texts["id"] == clusters["node"]).select("id", "p0", "p1", F.col("component").alias("cluster")))
+    rows = cut(source.select("id", _prints(F.col("text"), size).alias("p")).select("id", "p.*"))
+    texts = cut(rows.groupBy("whole").agg(F.min("id").alias("id"), F.first("p0").alias("p0"), F.first("p1").alias("p1"), F.first("bands").alias("bands")))
+    clusters = connected_components(_candidates(texts, "p0").union(_candidates(texts, "p1")).union(_banded(texts)))
+    members = cut(texts.join(clusters, texts["id"] == clusters["node"]).select("id", "p0", "p1", "bands", F.col("component").alias("cluster")))
     sets = cut(source.join(members.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", _shingles(F.col("text"), size).alias("set")))
     star = members.join(_centres(members), "cluster").filter("id <> centre").select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b"))
     group = connected_components(_verified(star, sets, similarity))
-    held = cut(members.join(group, members["id"] == group["node"], "left").select("cluster", "id", "p0", "p1", F.coalesce("component", "id").alias("component")))
-    several = held.groupBy("cluster").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("cluster", "n")
+    held = cut(members.join(group, members["id"] == group["node"], "left").select("cluster", "id", "p0", "p1", "bands", F.coalesce("component", "id").alias("component")))
+    counted = held.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster")
+    several = counted.agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("groups")).filter("groups > 1")
+    several = several.select("cluster", F.col("top.component").alias("main"), F.col("top.n").alias("most"), (F.col("n") - F.col("top.n")).alias("rest"))
     more = _across(held.join(several, "cluster").join(sets, "id"), similarity, block)
     # A group's edges to its name and the links between groups.
     named = connected_components(held.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))

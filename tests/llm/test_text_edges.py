@@ -341,3 +341,20 @@ def test_near_duplicate_edges(spark, odd, none):
     groups = {r.doc_id: r.group for r in neardup.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     want = brute.near_groups(docs)
     assert sum(groups[i] == want[i] for i in want) >= 0.98 * len(want)
+
+
+def test_longer_and_shorter_copies(spark):
+    """Copies with an appended text, and truncated ones, down to a similarity of 0.8: each against the exact similarity."""
+    rng = random.Random(17)
+    text = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    docs, want = [], {}
+    for k in range(60):
+        words = text(rng.randrange(60, 240))
+        share = rng.uniform(0.05, 0.24)
+        other = words + text(int(share * len(words))) if k % 2 else words[: int(len(words) * (1 - share))]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        one, two = (set(zip(*[w[i:] for i in range(5)])) for w in (words, other))
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k if len(one & two) >= 0.8 * len(one | two) else 2 * k + 1}
+    assert 20 < sum(i != g for i, g in want.items()) < 60
+    for block in (1, 500):
+        assert {r.doc_id: r.group for r in neardup.groups(spark.createDataFrame(docs, "doc_id long, text string"), block=block).collect()} == want
