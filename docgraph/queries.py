@@ -456,6 +456,52 @@ def algo_influence(spark, sf_dir):
     return algorithms.influence(interactions(spark, sf_dir, True), 1, 1, 1.0).select("selection_order", "reach")
 
 
+# Algorithms on the whole interaction graph, with the operators' own parameters. The queries above with _SPARSE keep
+# 1-2 % of its pairs, for their SQL; these have no SQL, but for one, and tests compare them with plain versions.
+
+
+@query()
+def graph_neighborhood_whole(spark, sf_dir):
+    return algorithms.neighborhood(interactions(spark, sf_dir), "0", 12, 0)
+
+
+@query(f"""with {_DENSE}, {_BOTH.format("dense")}, direct as (select dst from both_ways where src = '0')
+select b.dst as id, count(*) as mutual_friends from direct d join both_ways b on b.src = d.dst
+where b.dst <> '0' and b.dst not in (select dst from direct) group by 1 order by 2 desc, 1 limit 10""")
+def algo_friend_suggestion_whole(spark, sf_dir):
+    return algorithms.friend_suggestions(interactions(spark, sf_dir), "0")
+
+
+@query()
+def algo_network_stats_whole(spark, sf_dir):
+    return algorithms.network_stats(interactions(spark, sf_dir))
+
+
+@query()
+def algo_are_connected_whole(spark, sf_dir):
+    return algorithms.are_connected(interactions(spark, sf_dir), "0", "1")
+
+
+@query()
+def algo_components_whole(spark, sf_dir):
+    return algorithms.components(interactions(spark, sf_dir))
+
+
+@query()
+def algo_communities_whole(spark, sf_dir):
+    return algorithms.communities(interactions(spark, sf_dir))
+
+
+@query()
+def algo_pagerank_whole(spark, sf_dir):
+    return algorithms.pagerank(interactions(spark, sf_dir))
+
+
+@query()
+def algo_betweenness_whole(spark, sf_dir):
+    return algorithms.betweenness(interactions(spark, sf_dir))
+
+
 @query("select n_name, count(*) as orders, round(sum(o_totalprice), 2) as revenue from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by n_name")
 def frame_aggregate(spark, sf_dir):
     """Collections are DataFrames: what the language has no words for, the DataFrame API has."""
