@@ -502,6 +502,27 @@ def algo_betweenness_whole(spark, sf_dir):
     return algorithms.betweenness(interactions(spark, sf_dir))
 
 
+@query()
+def algo_shortest_path_whole(spark, sf_dir):
+    found = algorithms.shortest_path(interactions(spark, sf_dir), "0", "1")
+    return found.select("found", "hops", F.array_join("path", ">").alias("path"))
+
+
+@query()
+def algo_distances_whole(spark, sf_dir):
+    return algorithms.all_distances(interactions(spark, sf_dir), "0")
+
+
+@query()
+def algo_distances_all_whole(spark, sf_dir):
+    return algorithms.all_distances(interactions(spark, sf_dir), everything=True)
+
+
+@query()
+def algo_influence_whole(spark, sf_dir):
+    return algorithms.influence(interactions(spark, sf_dir))
+
+
 @query("select n_name, count(*) as orders, round(sum(o_totalprice), 2) as revenue from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by n_name")
 def frame_aggregate(spark, sf_dir):
     """Collections are DataFrames: what the language has no words for, the DataFrame API has."""

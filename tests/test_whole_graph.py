@@ -73,3 +73,62 @@ def test_ranks(spark, small, both):
     norm = (len(users) - 1) * (len(users) - 2)
     want = {v: sum(passed(s, v, t) for s in users for t in users if len({s, t, v}) == 3) / norm for v in users}
     assert {r.id: r.betweenness for r in run("algo_betweenness_whole")} == pytest.approx(want)
+
+
+@pytest.fixture(scope="module")
+def chain(spark, tmp_path_factory):
+    """A folder of events that lead from user 0 over nine others to user 1."""
+    folder = str(tmp_path_factory.mktemp("chain"))
+    spark.createDataFrame([(i, u, "view") for i, u in enumerate([0, 5, 6, 7, 8, 9, 10, 11, 12, 1])], "event_id long, user_id long, event_type string").write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def test_far(spark, small, chain):
+    """No bound of three, four or six steps."""
+    row = queries.QUERIES["algo_shortest_path_whole"](spark, chain).first()
+    assert tuple(row) == (True, 9, "0>5>6>7>8>9>10>11>12>1")
+    assert {r.id: r.distance for r in queries.QUERIES["algo_distances_whole"](spark, chain).collect()}["1"] == 9
+    folder, users, pairs = small
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+    want = {(s, t): d for s in users for t, d in bfs(out, s).items() if d}
+    assert max(want.values()) > 4
+    assert {(r.source, r.id): r.distance for r in queries.QUERIES["algo_distances_all_whole"](spark, folder).collect()} == want
+
+
+def test_cascades(spark, small, both):
+    """Five greedy seeds of twenty simulations, against simulations step by step with the same coins."""
+    folder, users, pairs = small
+    steps = sorted([*pairs, *((b, a) for a, b in pairs)])
+    mask, place = (1 << 64) - 1, {}
+    for i, (a, _) in enumerate(steps):
+        place.setdefault(a, []).append(i)
+
+    def coin(step, seed):
+        mixed = ((step + 1) * 0x9E3779B97F4A7C15 & mask) ^ (seed * 0x5851F42D % (1 << 32))
+        mixed = (mixed ^ mixed >> 29) * 0xBF58476D1CE4E5B9 & mask
+        return ((mixed ^ mixed >> 32) >> 11) / (1 << 53)
+
+    def reach(seeds):
+        total = 0
+        for s in range(20):
+            seen, front = set(seeds), list(seeds)
+            while front:
+                for i in place.get(front.pop(), ()):
+                    if coin(i, 42 + s) < 0.1 and steps[i][1] not in seen:
+                        seen.add(steps[i][1])
+                        front.append(steps[i][1])
+            total += len(seen)
+        return total / 20
+
+    degree = Counter(x for pair in pairs for x in pair)
+    order = sorted(users, key=lambda n: (-degree[n], n))
+    chosen, want = [], []
+    for turn in range(1, 6):
+        best = max((n for n in order if n not in chosen), key=lambda n: (reach([*chosen, n]), -order.index(n)))
+        chosen.append(best)
+        want.append((turn, best, reach(chosen)))
+    rows = queries.QUERIES["algo_influence_whole"](spark, folder).collect()
+    assert [(r.selection_order, r.id) for r in rows] == [w[:2] for w in want]
+    assert [r.reach for r in rows] == pytest.approx([w[2] for w in want])
