@@ -1,4 +1,4 @@
-"""License scans with a positional index of rare licence words, with DataFrame functions only."""
+"""License scans with a positional index of the templates' words, with DataFrame functions only."""
 
 import re
 import string
@@ -35,9 +35,7 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain.", ("unencumbered software released", "public domain")),
     ("proprietary", "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.", ("unauthorized copying", "strictly prohibited")),
 )
-#: Rare words of a file that are looked up.
-RAREST = 12
-#: Rare words of a template that must stand at their relative places: this many, or all that it has.
+#: Indexed words of a template that must stand at their relative places: this many, or all that it has.
 AGREE = 2
 
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -77,8 +75,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     Words are runs of digits, letters a-z (A-Z in lower case) and characters outside ASCII. Base labels come from
     every place where a phrase of ``PHRASES`` stands; ``first_word`` and ``last_word`` are the least and greatest
-    start. A template is found where the file's rarest licence words (highest IDF over the whole table) stand at the
-    template's relative places and each mandatory phrase stands at its own. score: the greatest share of a found
+    start. A template is found where indexed words of it, two or more, stand at their
+    relative places and each mandatory phrase stands at its own; all of a file's licence words are looked up. score: the greatest share of a found
     template's indexed words, at least 0.5 with a base label, else 0. Null and empty texts have no words and no label;
     repeated rows stay repeated; an empty table gives no rows.
     """
@@ -94,24 +92,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     slim = slim.select("id", "n_words", F.transform("spots", lambda x: F.struct(x["w"].alias("w"), (x["p"] - F.col("lead")).cast("long").alias("p"))).alias("spots"))
     slim = cut(slim.withColumn("row", F.monotonically_increasing_id()))
 
-    # One row for each word of the templates' vocabulary, a fixed number.
-    counts = {r["w"]: r["n"] for r in slim.select(F.explode(F.array_distinct(F.col("spots.w"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
-    rarity = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     spark = docs.sparkSession
-    postings = spark.createDataFrame([(n, label, w, place, must, rarity[w]) for n, label, w, place, must in rows], "number int, label string, w string, place long, must boolean, rank int")
-    rank = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, rarity[w])])
-
-    # The rank of a word follows its IDF: words in fewer documents come first.
-    top = F.slice(F.array_sort(F.transform(F.array_distinct(F.col("spots.w")), lambda w: rank[w])), 1, RAREST)
-    placed = slim.filter(F.size("spots") > 1).select("row", top.alias("top"), F.explode("spots").alias("spot")).select("row", "top", "spot.w", "spot.p")
+    postings = spark.createDataFrame([(n, label, w, place, must) for n, label, w, place, must in rows], "number int, label string, w string, place long, must boolean")
+    placed = slim.filter(F.size("spots") > 1).select("row", F.explode("spots").alias("spot")).select("row", "spot.w", "spot.p")
     per_template = postings.groupBy("number").agg(F.count("*").alias("words"), F.sum(F.col("must").cast("int")).alias("musts"))
     small = F.broadcast(postings.join(per_template, "number"))
     # Each of a file's spots meets the few postings of its word: intersect by where the template would begin.
-    meets = placed.join(small, "w").withColumn("rare", F.array_contains("top", F.col("rank")))
+    meets = placed.join(small, "w")
     begun = meets.groupBy("row", "number", "label", "words", "musts", (F.col("p") - F.col("place")).alias("begin")).agg(
-        F.count("*").alias("agree"), F.sum(F.col("rare").cast("int")).alias("rare"), F.sum(F.col("must").cast("int")).alias("there")
+        F.count("*").alias("agree"), F.sum(F.col("must").cast("int")).alias("there")
     )
-    whole = begun.filter((F.col("rare") >= F.least(F.lit(AGREE), F.col("words"))) & (F.col("there") == F.col("musts")))
+    whole = begun.filter((F.col("agree") >= F.least(F.lit(AGREE), F.col("words"))) & (F.col("there") == F.col("musts")))
     best = whole.groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.col("agree") / F.col("words")).alias("share"))
 
     places = {phrase: _places(phrase.split()) for phrase in PHRASES}

@@ -358,3 +358,12 @@ def test_longer_and_shorter_copies(spark):
     assert 20 < sum(i != g for i, g in want.items()) < 60
     for block in (1, 500):
         assert {r.doc_id: r.group for r in neardup.groups(spark.createDataFrame(docs, "doc_id long, text string"), block=block).collect()} == want
+
+
+def test_many_licences_in_one_file(spark):
+    """A file of all notices and of more licence words than these has all labels."""
+    notices = [t for _, t, _ in licences.TEMPLATES]
+    docs = [(1, " ".join(notices)), (2, " some text between them ".join(reversed(notices))), (3, "free person source following conditions software public domain version license fee medium file copy")]
+    found = {r.doc_id: set(filter(None, r.labels.split(","))) for r in licences.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    every = {label for label, _, _ in licences.TEMPLATES}
+    assert found[1] >= every and found[2] >= every and not found[3]
