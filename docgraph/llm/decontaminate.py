@@ -2,7 +2,8 @@
 
 A text becomes a sequence of canonical tokens: numbers, units (after a number) and names (capitalised inside a
 sentence) turn into typed placeholders, other words lose their case. Windows of canonical tokens are hash-joined with
-those of the benchmark; windows of one item at one distance form an alignment. An alignment counts if it covers enough
+those of the benchmark; windows of one item at one distance form an alignment. Windows with too few plain words
+are joined too, but by their words, numbers and units as they stand. An alignment counts if it covers enough
 of the item, or a long run of its tokens, and if the slots' values are consistent: wherever the item repeats a value, so does the document.
 """
 
@@ -56,27 +57,34 @@ class Canon:
         self.vocabulary, other = vocabulary, _hash(b"<other>")
         self.known: dict[str, int] = {}
         self.rows: dict[tuple[str, bool], int] = {}
-        # Of each row: the hash as a word, whether it is a unit, whether it is capitalised.
-        self.facts: list[tuple[int, bool, bool]] = [(0, False, False), (_hash(_SLOTS[NUMBER]), False, False), (other, False, False), (other, False, True)]
+        # Of each row: the hash as a word, whether it is a unit, whether it is capitalised, whether it is a number, the hash as it stands.
+        number = _hash(_SLOTS[NUMBER])
+        self.facts: list[tuple[int, bool, bool, bool, int]] = [(0, False, False, False, 0), (number, False, False, True, other), (other, False, False, False, other), (other, False, True, False, other)]
         self.table: list[np.ndarray] = []
 
     def _row(self, token: str) -> int:
         if token in _ENDS:
             return self.END
-        if token[0].isdigit() and _NUMERIC.fullmatch(token):
-            return self.NUM
         word, capital = token.lower(), token[0].isupper()
+        if token[0].isdigit() and _NUMERIC.fullmatch(token):
+            if self.vocabulary is not None and word not in self.vocabulary:
+                return self.NUM
+            if (word, False) not in self.rows:
+                self.rows[word, False] = len(self.facts)
+                self.facts.append((*self.facts[self.NUM][:4], _hash(word.encode())))
+            return self.rows[word, False]
         if self.vocabulary is not None and word not in self.vocabulary and word not in UNITS:
             return self.CAPITAL if capital else self.OTHER
         if (word, capital) not in self.rows:
             self.rows[word, capital] = len(self.facts)
-            self.facts.append((_hash(word.encode()), word in UNITS, capital))
+            self.facts.append((_hash(word.encode()), word in UNITS, capital, False, _hash(word.encode())))
         return self.rows[word, capital]
 
-    def __call__(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(tokens, places of those that are words, canonical hash of each, the same with names as plain words, slot types).
+    def __call__(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+        """(tokens, places of those that are words, canonical hash of each, the same with names as plain words, the hash of each as it stands, slot types).
 
-        The second form finds an item again whose case was changed. The slot type of a plain word is 0.
+        The second form finds an item again whose case was changed; the third is None if no number is in the
+        vocabulary. The slot type of a plain word is 0.
         """
         tokens = _TOKEN.findall(text or "")
         known = self.known
@@ -85,21 +93,23 @@ class Canon:
         for t in set(tokens).difference(known):
             known[t] = self._row(t)
         if not self.table or len(self.table[0]) < len(self.facts):
-            self.table = [np.array([f[k] for f in self.facts], kind) for k, kind in enumerate((np.uint64, bool, bool))]
+            self.table = [np.array([f[k] for f in self.facts], kind) for k, kind in enumerate((np.uint64, bool, bool, bool, np.uint64))]
         rows = np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
         ends = rows == self.END
         begins = np.ones(len(rows), bool)
         begins[1:] = ends[:-1]
+        number = self.table[3][rows]
         after_number = np.zeros(len(rows), bool)
-        after_number[1:] = rows[:-1] == self.NUM
+        after_number[1:] = number[:-1]
         keep = np.flatnonzero(~ends)
-        rows, begins, after_number = rows[keep], begins[keep], after_number[keep]
-        word, unit, capital = (c[rows] for c in self.table)
-        kind = np.where(rows == self.NUM, NUMBER, np.where(unit & after_number, UNIT, np.where(capital & ~begins, NAME, 0)))
+        rows, begins, after_number, number = rows[keep], begins[keep], after_number[keep], number[keep]
+        word, unit, capital = (c[rows] for c in self.table[:3])
+        kind = np.where(number, NUMBER, np.where(unit & after_number, UNIT, np.where(capital & ~begins, NAME, 0)))
         word[kind == UNIT] = _hash(_SLOTS[UNIT])
         named = word.copy()
         named[kind == NAME] = _hash(_SLOTS[NAME])
-        return tokens, keep, named, word, kind
+        literal = self.table[4][rows] if (number & (rows != self.NUM)).any() else None
+        return tokens, keep, named, word, literal, kind
 
 
 def _usable(kind: np.ndarray, size: int) -> np.ndarray:
@@ -109,12 +119,15 @@ def _usable(kind: np.ndarray, size: int) -> np.ndarray:
 
 
 class Templates:
-    """The template windows of a block of items: sorted hashes with item and place, one table for each window length."""
+    """The template windows of a block of items: sorted hashes with item and place, one table for each window length and for each of exact windows.
+
+    Exact windows are those with too few plain words; each has a number, so texts without an item's number skip them.
+    """
 
     def __init__(self, items: list[tuple[int, str | None]]):
         canon, self.items, self.vocabulary, tables = Canon(), {}, set(), {}
         for item, text in items:
-            tokens, keep, named, plain, kind = canon(text)
+            tokens, keep, named, plain, literal, kind = canon(text)
             words = [tokens[i] for i in keep]
             if not words:
                 continue
@@ -123,15 +136,18 @@ class Templates:
             size = min(WINDOW, len(words))
             for form, slots in ((named, kind), (plain, np.where(kind == NAME, 0, kind))):
                 usable = np.flatnonzero(_usable(slots, size))
-                tables.setdefault(size, []).append((windows(form, size)[usable], np.full(len(usable), item), usable))
+                tables.setdefault((size, False), []).append((windows(form, size)[usable], np.full(len(usable), item), usable))
+            slotted = np.flatnonzero(~_usable(np.where(kind == NAME, 0, kind), size))
+            if len(slotted):
+                tables.setdefault((size, True), []).append((windows(literal, size)[slotted], np.full(len(slotted), item), slotted))
         self.tables = {}
-        for size, parts in tables.items():
+        for key, parts in tables.items():
             keys, owner, place = (np.concatenate(p) for p in zip(*parts, strict=True))
             order = np.argsort(keys, kind="stable")
             # Which low bits of hashes occur at all: tells most other hashes apart at once.
             some = np.zeros(1 << 22, bool)
             some[(keys & np.uint64(len(some) - 1)).astype(np.int64)] = True
-            self.tables[size] = keys[order], owner[order], place[order], some
+            self.tables[key] = keys[order], owner[order], place[order], some
 
     def canon(self) -> Canon:
         """For texts that are compared with these items."""
@@ -139,22 +155,25 @@ class Templates:
 
     def alignments(self, canon: Canon, text: str | None) -> Iterator[tuple[int, int, int, float, float, bool]]:
         """(item, first and last token, coverage, consistency, verbatim) of each item that the text contains."""
-        tokens, keep, named, plain, kind = canon(text)
+        tokens, keep, named, plain, literal, kind = canon(text)
         forms = [named, plain] if (kind == NAME).any() else [named]
-        met: dict[tuple[int, int], None] = {}
-        for (size, (keys, owner, place, some)), form in product(self.tables.items(), forms):
+        # Of each item and distance, whether exact windows alone have met.
+        met: dict[tuple[int, int], bool] = {}
+        steps = [x for (size, exact), t in self.tables.items() for x in product([(size, exact, t)], forms if not exact else [literal] if literal is not None else [])]
+        for (size, exact, (keys, owner, place, some)), form in steps:
             own = windows(form, size)
             spots = np.flatnonzero(some[(own & np.uint64(len(some) - 1)).astype(np.int64)])
             low, high = np.searchsorted(keys, own[spots]), np.searchsorted(keys, own[spots], "right")
             for spot, a, b in zip(spots.tolist(), low.tolist(), high.tolist(), strict=True):
                 for k in range(a, b):
-                    met[int(owner[k]), spot - int(place[k])] = None
+                    at = int(owner[k]), spot - int(place[k])
+                    met[at] = exact and met.get(at, True)
         if not met:
             return
         words = [tokens[i] for i in keep.tolist()]
         best: dict[int, tuple] = {}
-        for item, shift in met:
-            found = self._compare(item, shift, words, named)
+        for (item, shift), exact in met.items():
+            found = self._compare(item, shift, words, named, exact)
             if found and (item not in best or found[2:4] > best[item][2:4]):
                 best[item] = found
         for item, found in sorted(best.items()):
@@ -168,12 +187,13 @@ class Templates:
         plain = np.concatenate([[0], np.cumsum(kind[same] == 0)])
         return bool(((same[RUN - 1 :] - same[: len(same) - RUN + 1] == RUN - 1) & (plain[RUN:] - plain[:-RUN] >= RUN_LITERAL)).any())
 
-    def _compare(self, item: int, shift: int, tokens: list[str], hashes: np.ndarray) -> tuple[int, int, float, float, bool] | None:
+    def _compare(self, item: int, shift: int, tokens: list[str], hashes: np.ndarray, exact: bool = False) -> tuple[int, int, float, float, bool] | None:
+        """With ``exact`` only tokens that stand as they are in the item agree."""
         words, wanted, kind = self.items[item]
         low, high = max(0, -shift), min(len(words), len(tokens) - shift)
         # A sentence's first word counts as itself wherever it stands.
         plain = np.fromiter((words[i].lower() == tokens[i + shift].lower() for i in range(low, high)), bool, max(0, high - low))
-        same = np.flatnonzero(plain | (wanted[low:high] == hashes[low + shift : high + shift])) + low
+        same = np.flatnonzero(plain if exact else plain | (wanted[low:high] == hashes[low + shift : high + shift])) + low
         covered = len(same) / len(words)
         if covered < COVERAGE and not self._long_run(same, kind):
             return None
@@ -205,7 +225,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, item_id, first_token, last_token, coverage, consistency, verbatim): one row for each document and item that it contains.
 
     Other documents have no row. Texts that differ from an item in numbers, units or names only, consistently, count;
-    ``verbatim`` tells whether all slots have the item's own values. Items shorter than a window match as a whole; empty
+    ``verbatim`` tells whether all slots have the item's own values. Verbatim copies of items full of
+    numbers and units count as well. Items shorter than a window match as a whole; empty
     items and null texts match nothing; null item ids are ignored. Repeated rows give repeated rows. The benchmark is
     joined in blocks of bounded size, each of which a worker holds as a hash table.
     """

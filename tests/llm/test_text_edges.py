@@ -367,3 +367,13 @@ def test_many_licences_in_one_file(spark):
     found = {r.doc_id: set(filter(None, r.labels.split(","))) for r in licences.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     every = {label for label, _, _ in licences.TEMPLATES}
     assert found[1] >= every and found[2] >= every and not found[3]
+
+
+def test_items_of_numbers(spark):
+    """Verbatim copies of items whose every window is full of numbers or units; other numbers are no copies."""
+    items = [(1, "Compute 347 + 288."), (2, "12 cm 7 kg 19 cm 31 kg 44 cm 8 kg 51 cm 23 kg 65 cm 17 kg"), (3, "the river carries old stones down to a quiet harbour town")]
+    docs = [(1, "We say: compute 347 + 288. Then rest."), (2, "Compute 512 + 99."), (3, "so 12 cm 7 kg 19 cm 31 kg 44 cm 8 kg 51 cm 23 kg 65 cm 17 kg and more"), (4, "13 cm 9 kg 20 cm 32 kg 45 cm 9 kg 52 cm 24 kg 66 cm 18 kg")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    made = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.coverage, r.verbatim) for r in decontaminate.contaminated(made, benchmark).collect()) == [(1, 1, 1.0, True), (3, 2, 1.0, True)]
+    assert sorted(r.doc_id for r in decontaminate.clean(made, benchmark).collect()) == [2, 4]
