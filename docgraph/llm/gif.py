@@ -3,7 +3,7 @@
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,9 +16,14 @@ WIDTH = 64
 ROWS = 1024
 #: Hundredths of a second that a frame stays.
 DELAY = 10
-#: Literals after each clear code; with the clear code 248 codes of nine bits are 279 bytes.
-LITERALS = 247
-CLEAR, END = 256, 257
+#: The largest code table, and the widest code.
+CODES, WIDEST = 4096, 12
+#: Codes that are cut out of a stream together.
+TOGETHER = 4096
+#: Pixels of the largest screen or frame that is read (256 MB as RGBA); files that name larger ones count as broken.
+MOST_PIXELS = 1 << 26
+#: Levels of each colour in a histogram.
+LEVELS = 4
 
 
 @dataclass
@@ -44,102 +49,140 @@ class Animation:
 
     def canvases(self) -> Iterator[np.ndarray]:
         """The picture after each frame as RGBA: transparent pixels let the canvas through, then disposal applies."""
-        canvas = np.zeros((self.height, self.width, 4), np.uint8)
+        for canvas in self._drawn(lambda colours: np.concatenate([colours, np.full((256, 1), 255, np.uint8)], axis=1).view(np.uint32).ravel(), np.uint32):
+            yield canvas.copy().view(np.uint8).reshape(self.height, self.width, 4)
+
+    def _drawn(self, shown: Callable[[np.ndarray], np.ndarray], kind: type) -> Iterator[np.ndarray]:
+        """The canvas after each frame, for use before the next: ``shown`` gives what stands for each of 256 colours, 0 is empty."""
+        canvas = np.zeros((self.height, self.width), kind)
         for f in self.frames:
             before = canvas.copy() if f.disposal == 3 else None
             h, w = f.indexes.shape
             spot = canvas[f.top : f.top + h, f.left : f.left + w]
             seen = f.indexes[: spot.shape[0], : spot.shape[1]]
-            drawn = np.ones(seen.shape, bool) if f.transparent is None else seen != f.transparent
-            colours = f.palette[np.minimum(seen, len(f.palette) - 1)]
-            spot[drawn] = np.concatenate([colours[drawn], np.full((int(drawn.sum()), 1), 255, np.uint8)], axis=1)
-            yield canvas.copy()
+            pixels = shown(f.palette[np.minimum(np.arange(256), len(f.palette) - 1)])[seen]
+            if f.transparent is None:
+                spot[:] = pixels
+            else:
+                np.copyto(spot, pixels, where=seen != f.transparent)
+            yield canvas
             if f.disposal == 2:
                 canvas[f.top : f.top + h, f.left : f.left + w] = 0
             elif f.disposal == 3:
                 canvas = before
 
 
-def _pack(codes: np.ndarray) -> np.ndarray:
-    """Nine-bit codes, least significant bit first; zero bits fill the last byte."""
-    whole = np.zeros((-(-len(codes) // 8), 8), np.uint16)
-    whole.ravel()[: len(codes)] = codes
-    out = np.empty((len(whole), 9), np.uint8)
-    out[:, 0] = whole[:, 0] & 0xFF
-    for k in range(1, 8):
-        out[:, k] = (whole[:, k - 1] >> (9 - k)) | ((whole[:, k] << k) & 0xFF)
-    out[:, 8] = whole[:, 7] >> 1
-    return out.ravel()[: (9 * len(codes) + 7) // 8]
-
-
-def _unpack(data: np.ndarray, count: int) -> np.ndarray:
-    """The first ``count`` nine-bit codes."""
-    groups = -(-count // 8)
-    rows = np.zeros(groups * 9, np.uint16)
-    rows[: min(len(data), groups * 9)] = data[: groups * 9]
-    rows = rows.reshape(groups, 9)
-    out = np.empty((groups, 8), np.uint16)
-    for k in range(8):
-        out[:, k] = (rows[:, k] >> k) | ((rows[:, k + 1] << (8 - k)) & 0x1FF)
-    return out.ravel()[:count]
-
-
-def lzw_literals(samples: np.ndarray) -> bytes:
-    """An LZW stream of 8-bit samples that clears its table before it needs a tenth bit, and so is made without a table."""
-    blocks = -(-len(samples) // LITERALS)
-    codes = np.zeros((blocks, LITERALS + 1), np.uint16)
-    codes[:, 0] = CLEAR
-    filled = np.zeros(blocks * LITERALS, np.uint16)
-    filled[: len(samples)] = samples
-    codes[:, 1:] = filled.reshape(blocks, LITERALS)
-    return _pack(np.append(codes.ravel()[: len(samples) + blocks], END)).tobytes()
+def _widths(depth: int, first: int, count: int) -> np.ndarray:
+    """Bits of the codes number ``first`` and on after a clear code: one more whenever the table outgrows them."""
+    entries = (1 << depth) + 2 + np.maximum(0, np.arange(first, first + count) - 1)
+    return np.clip(np.floor(np.log2(entries)).astype(np.int64) + 1, depth + 1, WIDEST)
+
+
+_SCHEDULE = _widths(8, 0, CODES)
+
+
+def lzw_encode(samples: bytes) -> bytes:
+    """An LZW stream of 8-bit samples: the table grows to its 4096 codes, then a clear code empties it."""
+    clear = 256
+    codes, marks = [clear], [1]
+    add, size, table = codes.append, clear + 2, {}
+    word = samples[0] if samples else -1
+    for sample in samples[1:]:
+        longer = word << 8 | sample
+        if longer in table:
+            word = table[longer]
+            continue
+        add(word)
+        if size < CODES:
+            table[longer] = size
+            size += 1
+        else:
+            add(clear)
+            marks.append(len(codes))
+            table, size = {}, clear + 2
+        word = sample
+    if word >= 0:
+        add(word)
+    add(clear + 1)
+    # Code number n after a clear code has the same width in every stream; the clear code before it ends its own run.
+    runs = np.diff([*marks, len(codes)])
+    widths = np.concatenate([[9], *[_SCHEDULE[:n] for n in runs]])
+    return _pack(np.array(codes, np.int64), widths)
+
+
+def _pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    """Codes one after the other, least significant bit first; zero bits fill the last byte."""
+    ends = np.cumsum(widths)
+    at = ends - widths
+    shifted = codes << (at & 7)
+    out = np.zeros((int(ends[-1]) + 7) // 8 + 2, np.int64)
+    for k in range(3):
+        # Codes share bytes, not bits.
+        out += np.bincount((at >> 3) + k, weights=(shifted >> 8 * k) & 255, minlength=len(out)).astype(np.int64)[: len(out)]
+    return out[: (int(ends[-1]) + 7) // 8].astype(np.uint8).tobytes()
+
+
+def _codes(raw: np.ndarray, bit: int, widths: np.ndarray) -> np.ndarray:
+    """The codes of these widths from a place on; as many as are whole."""
+    ends = bit + np.cumsum(widths)
+    ends = ends[: np.searchsorted(ends, 8 * (len(raw) - 2), "right")]
+    at = ends - widths[: len(ends)]
+    byte = at >> 3
+    held = raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16
+    return (held >> (at & 7)) & ((1 << widths[: len(ends)]) - 1)
+
+
+def _words(codes: np.ndarray, clear: int, most: int) -> np.ndarray:
+    """The samples of a run of codes without clear codes; at most about ``most`` of them.
+
+    The table's entry number k is the word of code k and the sample after it, so it stands in the output where that
+    word begins: a code of the table is a reference to an earlier place. Lengths and places of all codes, then the
+    literal behind each sample, follow by doubling the references.
+    """
+    entry = np.where(codes < clear, -1, codes - clear - 2)
+    if (entry >= np.arange(len(codes))).any():
+        raise ValueError("broken LZW stream")
+    lengths, back = np.ones(len(codes), np.int64), entry
+    while (deeper := np.flatnonzero(back >= 0)).size:
+        lengths[deeper], back[deeper] = lengths[deeper] + lengths[back[deeper]], back[back[deeper]]
+    entry = np.where(codes < clear, -1, codes - clear - 2)
+    starts = np.cumsum(lengths) - lengths
+    held = int(np.searchsorted(starts, most))
+    codes, entry, lengths, starts = codes[:held], entry[:held], lengths[:held], starts[:held]
+    came = np.arange(int(lengths.sum())) + np.repeat(np.where(entry >= 0, starts[entry] - starts, 0), lengths)
+    # A reference leads to the same place of a shorter word, or to the first sample of the next one.
+    for _ in range(int(2 * lengths.max(initial=0)).bit_length()):
+        came = came[came]
+    literals = np.zeros(len(came), np.uint8)
+    literals[starts[entry < 0]] = codes[entry < 0]
+    return literals[came]
 
 
 def lzw_decode(data: bytes, depth: int, pixels: int) -> np.ndarray:
     """``pixels`` samples of an LZW stream with minimum code size ``depth``; missing ones are 0, surplus ones are dropped."""
-    raw = np.frombuffer(data, np.uint8)
-    if depth == 8 and pixels:
-        count = pixels + -(-pixels // LITERALS) + 1
-        if len(raw) == (9 * count + 7) // 8:
-            codes = _unpack(raw, count)
-            rows = np.full(-(-(count - 1) // (LITERALS + 1)) * (LITERALS + 1), 0, np.uint16)
-            rows[: count - 1] = codes[:-1]
-            rows = rows.reshape(-1, LITERALS + 1)
-            if codes[-1] == END and (rows[:, 0] == CLEAR).all() and (rows[:, 1:] < CLEAR).all():
-                return rows[:, 1:].ravel()[:pixels].astype(np.uint8)
-    out, held, bits, at = bytearray(), 0, 0, 0
+    if not 1 <= depth <= 8:
+        raise ValueError("broken LZW stream")
     clear, end = 1 << depth, (1 << depth) + 1
-    table = [bytes([i & 255]) for i in range(clear)] + [b"", b""]
-    width, last = depth + 1, b""
-    while len(out) < pixels:
-        while bits < width and at < len(data):
-            held |= data[at] << bits
-            bits, at = bits + 8, at + 1
-        if bits < width:
-            break
-        code = held & ((1 << width) - 1)
-        held, bits = held >> width, bits - width
-        if code == clear:
-            del table[end + 1 :]
-            width, last = depth + 1, b""
-            continue
-        if code == end:
+    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(2, np.uint8)]).astype(np.int64)
+    out, total, bit, n, run = [np.empty(0, np.uint8)], 0, 0, 0, []
+    while total < pixels:
+        widths = _SCHEDULE if depth == 8 and not n else _widths(depth, n, TOGETHER)
+        codes = _codes(raw, bit, widths)
+        stops = np.flatnonzero((codes == clear) | (codes == end))
+        stop = int(stops[0]) if len(stops) else len(codes)
+        run.append(codes[:stop])
+        n += stop
+        last = not len(codes) or (stop < len(codes) and codes[stop] == end)
+        if last or stop < len(codes) or n >= pixels - total:
+            # A run ends with a clear code, with the stream, or where it has a code for each missing sample.
+            out.append(_words(np.concatenate(run), clear, pixels - total))
+            total += len(out[-1])
+            run, n = [], 0
+        if last:
             break
-        if code < len(table):
-            word = table[code]
-        elif code == len(table) and last:
-            word = last + last[:1]
-        else:
-            raise ValueError("broken LZW stream")
-        out += word
-        if last and len(table) < 4096:
-            table.append(last + word[:1])
-            if len(table) == 1 << width and width < 12:
-                width += 1
-        last = word
-    got = np.zeros(pixels, np.uint8)
-    got[: min(pixels, len(out))] = np.frombuffer(bytes(out[:pixels]), np.uint8)
-    return got
+        bit += int(widths[: min(stop + 1, len(codes))].sum())
+    got = np.concatenate(out)[:pixels]
+    return np.concatenate([got, np.zeros(pixels - len(got), np.uint8)])
 
 
 def _blocks(data: bytes) -> bytes:
@@ -166,48 +209,66 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw + b"\0" * (max(1, -(-len(raw) // WIDTH)) * WIDTH - len(raw)), len(raw)
 
 
+#: 256 colours: three bits of red, three of green, two of blue.
+PALETTE = np.array([((i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 255 // 3) for i in range(256)], np.uint8)
+
+
 def encode(payload: bytes, rows: int = ROWS, delay: int = DELAY) -> bytes:
-    """A GIF whose frames hold the payload's bytes as indexes of a grey palette, 64 to a row."""
-    samples = np.frombuffer(payload, np.uint8)
-    height = len(samples) // WIDTH
-    grey = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
-    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, height), 0xF7, 0, 0), grey]
+    """A GIF whose frames hold the payload's bytes as colour indexes, 64 to a row.
+
+    Index 0 is transparent and each frame's place is cleared after it, so a picture shows its own frame's bytes alone.
+    """
+    height = len(payload) // WIDTH
+    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, height), 0xF7, 0, 0), PALETTE.tobytes()]
     if height > rows:
         out.append(b"\x21\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00")
     for top in range(0, height, rows):
-        part = samples[top * WIDTH : (top + rows) * WIDTH]
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, delay, 0) + b"\0")
-        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0) + b"\x08" + _blocks(lzw_literals(part)))
+        part = payload[top * WIDTH : (top + rows) * WIDTH]
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 2 << 2 | 1, delay, 0) + b"\0")
+        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0) + b"\x08" + _blocks(lzw_encode(part)))
     return b"".join([*out, b"\x3b"])
 
 
+def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray | None, int]:
+    """The palette at ``at``, if the flags have one, and where it ends; None if the file ends before."""
+    if not flags & 0x80:
+        return None, at
+    size = 3 << ((flags & 7) + 1)
+    if at + size > len(data):
+        return None, len(data) + 1
+    return np.frombuffer(data, np.uint8, size, at).reshape(-1, 3), at + size
+
+
 def decode(data: bytes) -> Animation:
-    """All frames of a GIF 87a or 89a. A stream that breaks off gives the frames so far; anything else raises ValueError."""
-    if data[:6] not in (b"GIF87a", b"GIF89a"):
+    """All frames of a GIF 87a or 89a. A stream that breaks off gives the frames so far; anything else raises ValueError.
+
+    A frame without any palette is black. Screens and frames over ``MOST_PIXELS`` raise ValueError too.
+    """
+    if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
-    at, common = 13, None
-    if flags & 0x80:
-        size = 3 << ((flags & 7) + 1)
-        common = np.frombuffer(data, np.uint8, size, at).reshape(-1, 3)
-        at += size
+    common, at = _palette(data, 13, flags)
+    if at > len(data) or width * height > MOST_PIXELS:
+        raise ValueError("broken GIF")
     movie, delay, disposal, transparent, clock = Animation(width, height, background), 0, 0, None, 0
     while at < len(data) and data[at] != 0x3B:
         if data[at] == 0x21:
-            label = data[at + 1]
+            label = data[at + 1 : at + 2]
             body, at = _unblock(data, at + 2)
-            if label == 0xF9 and len(body) >= 4:
+            if label == b"\xf9" and len(body) >= 4:
                 bits, delay, index = struct.unpack_from("<BHB", body)
                 disposal, transparent = bits >> 2 & 7, index if bits & 1 else None
             continue
         if data[at] != 0x2C:
             raise ValueError("broken GIF")
+        if at + 10 > len(data):
+            break
         left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
-        at, palette = at + 10, common
-        if flags & 0x80:
-            size = 3 << ((flags & 7) + 1)
-            palette = np.frombuffer(data, np.uint8, size, at).reshape(-1, 3)
-            at += size
+        own, at = _palette(data, at + 10, flags)
+        if at >= len(data):
+            break
+        if w * h > MOST_PIXELS:
+            raise ValueError("broken GIF")
         depth = data[at]
         body, at = _unblock(data, at + 1)
         indexes = lzw_decode(body, depth, w * h).reshape(h, w)
@@ -216,22 +277,22 @@ def decode(data: bytes) -> Animation:
             plain = np.empty_like(indexes)
             plain[order] = indexes
             indexes = plain
-        movie.frames.append(Frame(left, top, indexes, np.zeros((1, 3), np.uint8) if palette is None else palette, delay, disposal, transparent, clock))
+        colours = own if own is not None else common if common is not None else np.zeros((1, 3), np.uint8)
+        movie.frames.append(Frame(left, top, indexes, colours, delay, disposal, transparent, clock))
         clock, delay, disposal, transparent = clock + delay, 0, 0, None
     return movie
 
 
-def histogram(movie: Animation) -> np.ndarray:
-    """Pixels of all frames by 16 levels of luminance, as the frames' own palettes and transparency show them."""
-    total = np.zeros(16, np.int64)
-    for f in movie.frames:
-        counts = np.bincount(f.indexes.ravel(), minlength=256)[:256]
-        if f.transparent is not None:
-            counts[f.transparent] = 0
-        colours = f.palette[np.minimum(np.arange(256), len(f.palette) - 1)].astype(np.int64)
-        levels = (colours @ np.array([299, 587, 114]) // 1000) >> 4
-        total += np.bincount(levels, weights=counts, minlength=16).astype(np.int64)
-    return total
+def _bins(colours: np.ndarray) -> np.ndarray:
+    """The number of each colour's bin, from 1."""
+    level = colours // (256 // LEVELS)
+    return (level[:, 0] * LEVELS + level[:, 1]) * LEVELS + level[:, 2] + 1
+
+
+def histograms(movie: Animation) -> Iterator[np.ndarray]:
+    """Of the picture after each frame: pixels that show something, by four levels each of red, green and blue."""
+    for canvas in movie._drawn(_bins, np.uint8):
+        yield np.bincount(canvas.ravel(), minlength=LEVELS**3 + 1)[1:]
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,14 +321,19 @@ def _pieces(values: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(values) - start
 
 
+_TIMED = ("start", "delay", "left", "top", "width", "height", "disposal")
+
+
 def from_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """Decodes each GIF: frames (start and delay in hundredths of a second, place, size, disposal), digests and histogram.
+    """Decodes each GIF: timed frames (start and delay in hundredths of a second, place, size, disposal) with the colour
+    histogram of the picture that each of them leaves, digests, and the sum of the histograms.
 
     Returns (id, frames, n_frames, duration, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, histogram).
-    The payload is the frames' indexes in order. A null media value gives nulls.
+    The payload is the frames' indexes in order. A null media value gives nulls; what is no GIF, or a broken one, gives
+    nulls but for media_bytes and media_sha256.
     """
     kind = dict(media.dtypes)[id_col]
-    frame = pa.struct([(n, pa.int64()) for n in ("start", "delay", "left", "top", "width", "height", "disposal")])
+    frame = pa.struct([*[(n, pa.int64()) for n in _TIMED], ("histogram", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,7 +344,8 @@ def from_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
                 kinds = [pa.list_(frame), *[pa.int64()] * 3, pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([ids[at : at + step], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["id", *NAMES])
 
-    schema = f"id {kind}, frames array<struct<start long, delay long, left long, top long, width long, height long, disposal long>>, n_frames long, duration long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, histogram array<long>"
+    timed = ", ".join(f"{n}: long" for n in _TIMED)
+    schema = f"id {kind}, frames array<struct<{timed}, histogram: array<long>>>, n_frames long, duration long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, histogram array<long>"
     return media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
@@ -288,14 +355,19 @@ NAMES = ("frames", "n_frames", "duration", "payload_bytes", "payload_sha256", "t
 def _described(data: bytes | None) -> tuple:
     if data is None:
         return (None,) * len(NAMES)
-    movie = decode(data)
+    stored = len(data), hashlib.sha256(data).hexdigest()
+    try:
+        movie = decode(data)
+    except ValueError:
+        return *(None,) * 6, *stored, None
     whole, tail, size = hashlib.sha256(), b"", 0
-    for f in movie.frames:
+    frames, total = [], np.zeros(LEVELS**3, np.int64)
+    for f, counts in zip(movie.frames, histograms(movie), strict=True):
         part = f.indexes.tobytes()
         whole.update(part)
-        tail, size = (tail + part)[-64:], size + len(part)
-    frames = [{"start": f.start, "delay": f.delay, "left": f.left, "top": f.top, "width": f.indexes.shape[1], "height": f.indexes.shape[0], "disposal": f.disposal} for f in movie.frames]
-    return frames, len(frames), sum(f.delay for f in movie.frames), size, whole.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), histogram(movie).tolist()
+        tail, size, total = (tail + part)[-64:], size + len(part), total + counts
+        frames.append({"start": f.start, "delay": f.delay, "left": f.left, "top": f.top, "width": f.indexes.shape[1], "height": f.indexes.shape[0], "disposal": f.disposal, "histogram": counts.tolist()})
+    return frames, len(frames), sum(f.delay for f in movie.frames), size, whole.hexdigest(), zlib.crc32(tail), *stored, total.tolist()
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
