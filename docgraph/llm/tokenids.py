@@ -1,5 +1,6 @@
 """Token ids in flat binary files with 64-bit document offsets."""
 
+import functools
 import json
 import os
 import re
@@ -11,19 +12,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from docgraph.llm.files import read_array, write_file
-from docgraph.plans.durable import shared_path
+from docgraph.plans.durable import cut, shared_path
 
 #: The id that ends each document.
 END = 1
-#: Words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+#: Bytes of words and their ids that a worker remembers, with what a dictionary needs for each.
+REMEMBERED, ENTRY = 128 << 20, 200
 #: Unknown words that are encoded in one call.
 TOGETHER = 2_000
 #: Bytes of text that one part aims at.
 PART_BYTES = 32 << 20
+#: Successive parts whose bases are summed together.
+GROUP = 4096
 #: The largest documents are cut here when ids are turned into bytes, never in the files.
 PIECE = 1 << 20
 
@@ -41,7 +44,7 @@ def vocabulary_type(spark: SparkSession, tokenizer: str, end: int = END) -> str:
 
     def size(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"size": [len(Encoder.kept(tokenizer, "<u4").last)] * len(batch)})
+            yield pd.DataFrame({"size": [len(encoder(tokenizer, "<u4").last)] * len(batch)})
 
     return id_type(max(end + 1, spark.range(1).mapInPandas(size, "size long").first()[0]))
 
@@ -50,7 +53,7 @@ class Encoder:
     """Encodes texts word by word and remembers words' ids as bytes.
 
     Only for tokenizers that fold case, drop white space and never join across it, so that a text's ids are its words'
-    ids in order. Strings of special tokens in a text are ordinary text.
+    ids in order. The strings of added tokens are cut out of a text first, as the library does, and give their own ids.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -58,27 +61,23 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values()):
+            raise ValueError("added tokens that look at the text around them are not supported")
+        self.dtype, self.known, self.held = dtype, {}, 0
+        self.special = {t.content: np.array([i], dtype).tobytes() for i, t in added.items()}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
+        # What is left of a text has no added token; a word that looks like one after folding is an ordinary word.
         self.tokenizer.encode_special_tokens = True
-        self.dtype, self.known = dtype, {}
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    @classmethod
-    def kept(cls, path: str, dtype: str):
-        """This process's encoder, which outlives a task: functions that travel by value start with empty globals."""
-        import tokenizers
-
-        held = vars(tokenizers).setdefault("_docgraph_encoders", {})
-        if (path, dtype) not in held:
-            held[path, dtype] = cls(path, dtype)
-        return held[path, dtype]
-
     def learn(self, words: set[bytes]) -> None:
         fresh = words.difference(self.known)
-        if len(self.known) + len(fresh) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.known.clear()
-            fresh = words
+            self.held, fresh = 0, words
         texts = {w: w.decode() for w in fresh}
         plain = [w for w, t in texts.items() if t.isalpha()]
         other = [w for w, t in texts.items() if not t.isalpha()]
@@ -99,22 +98,36 @@ class Encoder:
 
     def _keep(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
         raw = ids.tobytes()
+        self.held += len(raw) + sum(map(len, words)) + ENTRY * len(words)
         self.known.update(zip(words, (raw[a:b] for a, b in pairwise([0, *(ends * ids.itemsize).tolist()])), strict=True))
 
     def encode(self, text: str | None) -> bytes:
         """The text's ids, one after the other, in the encoder's type."""
-        words = _TAIL.sub(rb" \1", (text or "").encode().lower()).split()
+        if not text:
+            return b""
+        if any(t in text for t in self.special):
+            return b"".join(self.special.get(p) or self._plain(p) for p in self.cuts.split(text) if p)
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
+        words = _TAIL.sub(rb" \1", text.encode().lower()).split()
         self.learn(set(words))
         return b"".join(map(self.known.__getitem__, words))
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, dtype: str) -> Encoder:
+    """This process's encoder: a worker that runs several tasks loads its tokenizer once."""
+    return Encoder(path, dtype)
+
+
 def _writer(path: str, tokenizer: str, end: int, dtype: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = Encoder.kept(tokenizer, dtype), np.array([end], dtype).tobytes()
+        encode, last = encoder(tokenizer, dtype).encode, np.array([end], dtype).tobytes()
         part, pieces, ids, ends, nulls, at = TaskContext.get().partitionId(), [], [], [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                pieces.append(encoder.encode(text.as_py()) + last)
+                pieces.append(encode(text.as_py()) + last)
                 at += len(pieces[-1]) // len(last)
                 ids.append(doc_id or 0)
                 nulls.append(doc_id is None)
@@ -133,7 +146,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 
     ``part-NNNNNN.bin``: ids as flat little-endian unsigned integers, 16 bits wide if the vocabulary allows, else 32.
     ``part-NNNNNN.idx``: per document the 64-bit offset of its first id in the whole corpus, then one that closes the
-    part; ``part-NNNNNN.len``: running lengths, document ids and null flags. ``index.json`` names width and parts.
+    part; ``part-NNNNNN.len``: running lengths, document ids and null flags. ``index.json`` names width and number of parts.
     Parts follow each other in id order; a part's base is the sum of all earlier parts, so there are two passes: one
     over texts, one over parts. A document's ids end with ``end``.
 
@@ -147,13 +160,37 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     parts = max(1, -(-size // PART_BYTES), min(size >> 20, spark.sparkContext.defaultParallelism))
     spread = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(int(parts), "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
     # One row for each part, not for each document.
-    written = sorted(map(tuple, spread.mapInArrow(_writer(path, tokenizer, end, dtype), "part long, docs long, tokens long").collect()))
-    bases = np.concatenate([[0], np.cumsum([w[2] for w in written], dtype=np.int64)]).tolist()
-    table = pd.DataFrame([(*w, b) for w, b in zip(written, bases, strict=False)], columns=["part", "docs", "tokens", "base"], dtype="int64")
-    write_file(f"{path}/index.json", (json.dumps({"dtype": dtype, "end": end, "parts": table.to_dict("records")}).encode(),))
-    placed = _parts(spark, table)
+    written = cut(spread.mapInArrow(_writer(path, tokenizer, end, dtype), "part long, docs long, tokens long"))
+    held = written.count()
+    placed = cut(_dealt(_bases(written), held).mapInPandas(_offsets(path), "part long, docs long, tokens long, base long"))
+    write_file(f"{path}/index.json", (json.dumps({"dtype": dtype, "end": end, "parts": held}).encode(),))
+    return placed
+
+
+def _dealt(parts: DataFrame, held: int) -> DataFrame:
+    """Small rows with much work each, dealt to as many tasks (a number given by hand is not coalesced), ``GROUP`` at most."""
+    return parts.repartition(max(1, min(held, GROUP)), "part")
+
+
+def _bases(written: DataFrame) -> DataFrame:
+    """(part, docs, tokens, base): base is the sum of the tokens of all parts before, in two levels of prefix sums.
 
-    def offsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Parts are summed within groups of ``GROUP`` successive ones; only the groups' sums meet in one task (at 100 TB
+    some 800 rows).
+    """
+    group = F.floor(F.col("part") / GROUP).alias("group")
+    totals = written.groupBy(group).agg(F.sum("tokens").alias("whole"))
+    before = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("group", F.coalesce(F.sum("whole").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    summed = written.withColumn("group", group).withColumn("inside", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
+    return summed.join(totals, "group").select("part", "docs", "tokens", (F.col("start") + F.col("inside")).cast("long").alias("base"))
+
+
+def _offsets(path: str):
+    """Writes the offsets of each part's documents."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
                 name = f"{path}/part-{row.part:06d}"
@@ -161,15 +198,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
                 write_file(f"{name}.idx", (np.concatenate([[row.base], ends + np.uint64(row.base)]).astype("<u8").tobytes(),))
             yield batch
 
-    for _ in [placed.mapInPandas(offsets, placed.schema).count()] if len(table) else []:
-        pass
-    return placed
-
-
-def _parts(spark: SparkSession, table: pd.DataFrame) -> DataFrame:
-    rows = [tuple(map(int, r)) for r in table.itertuples(index=False)]
-    df = spark.createDataFrame(rows, "part long, docs long, tokens long, base long")
-    return df.repartition(max(1, len(rows)), "part") if len(rows) > 1 else df
+    return write
 
 
 def read_tokens(placed: DataFrame, path: str, dtype: str) -> DataFrame:
@@ -192,7 +221,7 @@ def read_tokens(placed: DataFrame, path: str, dtype: str) -> DataFrame:
                     to = slice(at, min(at + 50_000, row.docs))
                     yield pd.DataFrame({"doc_id": doc_ids[to], "start": starts[:-1][to], "n_tokens": np.diff(starts)[to], "ids_crc32": crcs[to]})
 
-    return placed.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _dealt(placed, placed.count()).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokens_of(path: str, part: int, dtype: str) -> list[np.ndarray]:
