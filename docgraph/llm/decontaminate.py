@@ -1,15 +1,19 @@
 """Benchmark decontamination by template windows and slot consistency.
 
-A text becomes a sequence of canonical tokens: numbers, units (after a number) and names (capitalised inside a
-sentence) turn into typed placeholders, other words lose their case. Windows of canonical tokens are hash-joined with
-those of the benchmark; windows of one item at one distance form an alignment. Windows with too few plain words
-are joined too, but by their words, numbers and units as they stand. An alignment counts if it covers enough
-of the item, or a long run of its tokens, and if the slots' values are consistent: wherever the item repeats a value, so does the document.
+A text becomes a sequence of canonical tokens: numbers, units (after a number) and names (runs of capitalised words
+inside a sentence) turn into typed placeholders, other words lose their case. A second form keeps names as words, so
+that an item is found whose case was changed. Windows of canonical tokens are hash-joined with those of the benchmark.
+Windows with too few plain words are joined too, but by their words, numbers and units as they stand.
+
+Where a window of an item meets a text, the item is aligned with the text around it: matching tokens count one, each
+token that is left out on either side costs ``GAP``, so words that were put in, dropped or replaced move the rest but do
+not hide it. An alignment counts if it covers enough of the item, or a long run of its tokens, and if the slots' values
+are consistent: wherever the item repeats a value, so does the document.
 """
 
 import re
-from collections.abc import Iterator
-from itertools import product
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,9 +22,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from docgraph.llm.substrings import windows
 
-WINDOW = 8
+WINDOW = 6
 #: Words of a window that must not be placeholders.
-LITERAL = 4
+LITERAL = 3
+#: What an alignment pays for a token without a partner.
+GAP = 0.5
+#: Characters of texts that are looked at together.
+TOGETHER = 1 << 18
 #: Share of an item's tokens that an alignment covers at least.
 COVERAGE = 0.5
 #: Or: tokens in a row that agree, and how many of them must be plain words.
@@ -33,7 +41,9 @@ REMEMBERED = 200_000
 
 NUMBER, UNIT, NAME = 1, 2, 3
 _SLOTS = {NUMBER: b"<number>", UNIT: b"<unit>", NAME: b"<name>"}
-_TOKEN = re.compile(r"[^\W_]+(?:[.,'’][^\W_]+)*|[.!?:\n]")
+#: Stands between texts that are looked at together; in a text it is white space.
+BREAK = "\x1e"
+_TOKEN = re.compile(r"[^\W_]+(?:[.,'’][^\W_]+)*|[.!?:\n\x1e]")
 _NUMERIC = re.compile(r"\d[\d.,]*(?:st|nd|rd|th)?")
 _ENDS = frozenset(".!?:\n")
 # Units that may follow a number.
@@ -44,72 +54,103 @@ def _hash(value: bytes) -> int:
     return xxhash.xxh64_intdigest(value, 3)
 
 
+@dataclass
+class Form:
+    """A sequence of canonical tokens: hash and slot type (0: a plain word) of each, and where in the words it begins."""
+
+    hashes: np.ndarray
+    kinds: np.ndarray
+    starts: np.ndarray
+    words: list[str]
+
+    def value(self, i: int) -> str:
+        """The words behind a token, as they stand but for case."""
+        end = int(self.starts[i + 1]) if i + 1 < len(self.starts) else len(self.words)
+        return " ".join(self.words[int(self.starts[i]) : end]).lower()
+
+
+class _Rows(dict):
+    """Row of each token, found when it is first met; a bounded memory."""
+
+    def __init__(self, find: Callable[[str], int]):
+        self.find = find
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        row = self[token] = self.find(token)
+        return row
+
+
 class Canon:
     """Tokens and canonical hashes of texts, with a bounded memory of words.
 
     With a ``vocabulary`` (lower-case words) all other words get one hash, which is in no window of the vocabulary's items.
     """
 
-    #: Rows of the table of facts that every canon begins with: an end of a sentence, a number, other words.
-    END, NUM, OTHER, CAPITAL = range(4)
+    #: Rows of the table of facts that every canon begins with: an end of a sentence, a number, other words, a break between texts.
+    END, NUM, OTHER, CAPITAL, NEXT = range(5)
 
     def __init__(self, vocabulary: set[str] | None = None):
-        self.vocabulary, other = vocabulary, _hash(b"<other>")
-        self.known: dict[str, int] = {}
+        self.vocabulary, other, number, between = vocabulary, _hash(b"<other>"), _hash(_SLOTS[NUMBER]), _hash(b"<break>")
+        self.known = _Rows(self._row)
         self.rows: dict[tuple[str, bool], int] = {}
         # Of each row: the hash as a word, whether it is a unit, whether it is capitalised, whether it is a number, the hash as it stands.
-        number = _hash(_SLOTS[NUMBER])
-        self.facts: list[tuple[int, bool, bool, bool, int]] = [(0, False, False, False, 0), (number, False, False, True, other), (other, False, False, False, other), (other, False, True, False, other)]
+        self.facts: list[tuple[int, bool, bool, bool, int]] = [(0, False, False, False, 0), (number, False, False, True, other), (other, False, False, False, other), (other, False, True, False, other), (between, False, False, False, between)]
         self.table: list[np.ndarray] = []
 
     def _row(self, token: str) -> int:
-        if token in _ENDS:
-            return self.END
-        word, capital = token.lower(), token[0].isupper()
-        if token[0].isdigit() and _NUMERIC.fullmatch(token):
-            if self.vocabulary is not None and word not in self.vocabulary:
-                return self.NUM
-            if (word, False) not in self.rows:
-                self.rows[word, False] = len(self.facts)
-                self.facts.append((*self.facts[self.NUM][:4], _hash(word.encode())))
-            return self.rows[word, False]
+        word = token.lower()
         if self.vocabulary is not None and word not in self.vocabulary and word not in UNITS:
-            return self.CAPITAL if capital else self.OTHER
+            if token in _ENDS:
+                return self.END
+            if token == BREAK:
+                return self.NEXT
+            if token[0].isdigit() and _NUMERIC.fullmatch(token):
+                return self.NUM
+            return self.CAPITAL if token[0].isupper() else self.OTHER
+        if token in _ENDS or token == BREAK:
+            return self.END if token in _ENDS else self.NEXT
+        if token[0].isdigit() and _NUMERIC.fullmatch(token):
+            return self._fact(word, False, (*self.facts[self.NUM][:4], _hash(word.encode())))
+        capital = token[0].isupper()
+        return self._fact(word, capital, (_hash(word.encode()), word in UNITS, capital, False, _hash(word.encode())))
+
+    def _fact(self, word: str, capital: bool, fact: tuple) -> int:
         if (word, capital) not in self.rows:
             self.rows[word, capital] = len(self.facts)
-            self.facts.append((_hash(word.encode()), word in UNITS, capital, False, _hash(word.encode())))
+            self.facts.append(fact)
         return self.rows[word, capital]
 
-    def __call__(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
-        """(tokens, places of those that are words, canonical hash of each, the same with names as plain words, the hash of each as it stands, slot types).
+    def __call__(self, texts: list[str | None]) -> tuple[Form, Form, np.ndarray | None, np.ndarray]:
+        """(form with names as placeholders, form with names as words, hashes of words as they stand, places of breaks).
 
-        The second form finds an item again whose case was changed; the third is None if no number is in the
-        vocabulary. The slot type of a plain word is 0.
+        Texts stand one after the other, with a break after each. The hashes are None if no number of the vocabulary
+        is there; they belong to the second form, which has a token for each word.
         """
-        tokens = _TOKEN.findall(text or "")
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for t in set(tokens).difference(known):
-            known[t] = self._row(t)
+        tokens = _TOKEN.findall("".join([(t or "").replace(BREAK, " ") + BREAK for t in texts]))
+        rows = np.fromiter(map(self.known.__getitem__, tokens), np.int32, len(tokens))
         if not self.table or len(self.table[0]) < len(self.facts):
             self.table = [np.array([f[k] for f in self.facts], kind) for k, kind in enumerate((np.uint64, bool, bool, bool, np.uint64))]
-        rows = np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
         ends = rows == self.END
         begins = np.ones(len(rows), bool)
-        begins[1:] = ends[:-1]
+        begins[1:] = ends[:-1] | (rows[:-1] == self.NEXT)
         number = self.table[3][rows]
         after_number = np.zeros(len(rows), bool)
         after_number[1:] = number[:-1]
         keep = np.flatnonzero(~ends)
+        words = tokens if len(keep) == len(tokens) else [tokens[i] for i in keep.tolist()]
         rows, begins, after_number, number = rows[keep], begins[keep], after_number[keep], number[keep]
         word, unit, capital = (c[rows] for c in self.table[:3])
         kind = np.where(number, NUMBER, np.where(unit & after_number, UNIT, np.where(capital & ~begins, NAME, 0)))
         word[kind == UNIT] = _hash(_SLOTS[UNIT])
-        named = word.copy()
-        named[kind == NAME] = _hash(_SLOTS[NAME])
+        name = kind == NAME
+        first = np.ones(len(rows), bool)
+        first[1:] = ~(name[1:] & name[:-1])
+        starts = np.flatnonzero(first)
+        named = np.where(name, np.uint64(_hash(_SLOTS[NAME])), word)[starts]
         literal = self.table[4][rows] if (number & (rows != self.NUM)).any() else None
-        return tokens, keep, named, word, literal, kind
+        return Form(named, kind[starts], starts, words), Form(word, np.where(name, 0, kind), np.arange(len(rows)), words), literal, np.flatnonzero(rows == self.NEXT)
 
 
 def _usable(kind: np.ndarray, size: int) -> np.ndarray:
@@ -118,28 +159,77 @@ def _usable(kind: np.ndarray, size: int) -> np.ndarray:
     return plain[size:] - plain[:-size] >= min(LITERAL, (size + 1) // 2)
 
 
+@dataclass
+class _Side:
+    """A form's hashes, values and slot types, ready to be aligned; ``begins``: where each token begins in its text's words."""
+
+    hashes: np.ndarray
+    values: list[str]
+    valued: np.ndarray
+    kinds: np.ndarray
+    begins: np.ndarray
+
+
+def _side(form: Form, low: int, high: int, origin: int = 0) -> _Side:
+    values = [form.value(i) for i in range(low, high)]
+    return _Side(form.hashes[low:high], values, np.array([_hash(v.encode()) for v in values], np.uint64), form.kinds[low:high], form.starts[low:high] - origin)
+
+
+def align(item: _Side, text: _Side, exact: bool = False) -> list[tuple[int, int]]:
+    """(item's token, text's token) of the best local alignment that match; with ``exact`` only tokens that are the same as they stand do."""
+    n, m = len(item.values), len(text.values)
+    same = item.valued[:, None] == text.valued[None, :]
+    if not exact:
+        same |= item.hashes[:, None] == text.hashes[None, :]
+    ramp = GAP * np.arange(m + 1)
+    best = np.zeros((n + 1, m + 1))
+    for i in range(1, n + 1):
+        row = best[i]
+        row[1:] = np.maximum(best[i - 1, :-1] + np.where(same[i - 1], 1.0, -2 * GAP), best[i - 1, 1:] - GAP)
+        np.maximum(row, 0, out=row)
+        # A gap in the item: the best so far in the row, less what the way from there costs.
+        row[:] = np.maximum.accumulate(row + ramp) - ramp
+    i, j = divmod(int(best.argmax()), m + 1)
+    pairs = []
+    while i and j and best[i, j] > 0:
+        if same[i - 1, j - 1] and abs(best[i, j] - best[i - 1, j - 1] - 1) < 1e-6:
+            pairs.append((i - 1, j - 1))
+            i, j = i - 1, j - 1
+        elif abs(best[i, j] - best[i - 1, j] + GAP) < 1e-6:
+            i -= 1
+        elif abs(best[i, j] - best[i, j - 1] + GAP) < 1e-6:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+    return pairs[::-1]
+
+
 class Templates:
-    """The template windows of a block of items: sorted hashes with item and place, one table for each window length and for each of exact windows.
+    """The template windows of a block of items: sorted hashes with item and place, one table for each window length and form.
 
-    Exact windows are those with too few plain words; each has a number, so texts without an item's number skip them.
+    Exact windows are those with too few plain words; they have a number, so texts without an item's number skip them.
     """
 
+    NAMED, PLAIN, EXACT = range(3)
+
     def __init__(self, items: list[tuple[int, str | None]]):
         canon, self.items, self.vocabulary, tables = Canon(), {}, set(), {}
         for item, text in items:
-            tokens, keep, named, plain, literal, kind = canon(text)
-            words = [tokens[i] for i in keep]
-            if not words:
+            named, plain, literal, _ = canon([text])
+            # The last token is the break.
+            many = len(plain.words) - 1
+            if not many:
                 continue
-            self.items[item] = (words, named, kind)
-            self.vocabulary.update(w.lower() for w in words)
-            size = min(WINDOW, len(words))
-            for form, slots in ((named, kind), (plain, np.where(kind == NAME, 0, kind))):
-                usable = np.flatnonzero(_usable(slots, size))
-                tables.setdefault((size, False), []).append((windows(form, size)[usable], np.full(len(usable), item), usable))
-            slotted = np.flatnonzero(~_usable(np.where(kind == NAME, 0, kind), size))
+            self.vocabulary.update(w.lower() for w in plain.words[:-1])
+            self.items[item] = tuple(_side(Form(f.hashes[:-1], f.kinds[:-1], f.starts[:-1], f.words[:-1]), 0, len(f.hashes) - 1) for f in (named, plain))
+            for form, side in ((self.NAMED, self.items[item][0]), (self.PLAIN, self.items[item][1])):
+                size = min(WINDOW, len(side.values))
+                usable = np.flatnonzero(_usable(side.kinds, size))
+                tables.setdefault((size, form), []).append((windows(side.hashes, size)[usable], np.full(len(usable), item), usable))
+            size = min(WINDOW, many)
+            slotted = np.flatnonzero(~_usable(self.items[item][1].kinds, size))
             if len(slotted):
-                tables.setdefault((size, True), []).append((windows(literal, size)[slotted], np.full(len(slotted), item), slotted))
+                tables.setdefault((size, self.EXACT), []).append((windows(literal[:-1], size)[slotted], np.full(len(slotted), item), slotted))
         self.tables = {}
         for key, parts in tables.items():
             keys, owner, place = (np.concatenate(p) for p in zip(*parts, strict=True))
@@ -153,58 +243,81 @@ class Templates:
         """For texts that are compared with these items."""
         return Canon(self.vocabulary)
 
-    def alignments(self, canon: Canon, text: str | None) -> Iterator[tuple[int, int, int, float, float, bool]]:
-        """(item, first and last token, coverage, consistency, verbatim) of each item that the text contains."""
-        tokens, keep, named, plain, literal, kind = canon(text)
-        forms = [named, plain] if (kind == NAME).any() else [named]
-        # Of each item and distance, whether exact windows alone have met.
-        met: dict[tuple[int, int], bool] = {}
-        steps = [x for (size, exact), t in self.tables.items() for x in product([(size, exact, t)], forms if not exact else [literal] if literal is not None else [])]
-        for (size, exact, (keys, owner, place, some)), form in steps:
-            own = windows(form, size)
+    def search(self, canon: Canon, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, float, float, bool]]:
+        """(text's place in the list, item, first and last word, coverage, consistency, verbatim) of each item that a text contains."""
+        start = held = 0
+        for k, text in enumerate([*texts, None]):
+            if k > start and (held > TOGETHER or k == len(texts)):
+                yield from ((start + t, *found) for t, *found in self._search(canon, texts[start:k]))
+                start, held = k, 0
+            held += len(text or "")
+
+    def _search(self, canon: Canon, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, float, float, bool]]:
+        named, plain, literal, breaks = canon(texts)
+        forms = {self.NAMED: (named, named.hashes), self.PLAIN: (plain, plain.hashes), self.EXACT: (plain, literal)}
+        # Of each text, item and form: where in the form's tokens the item would begin.
+        met: dict[tuple[int, int, int], list[int]] = {}
+        for (size, kind), (keys, owner, place, some) in self.tables.items():
+            form, hashes = forms[kind]
+            if hashes is None:
+                continue
+            own = windows(hashes, size)
             spots = np.flatnonzero(some[(own & np.uint64(len(some) - 1)).astype(np.int64)])
             low, high = np.searchsorted(keys, own[spots]), np.searchsorted(keys, own[spots], "right")
-            for spot, a, b in zip(spots.tolist(), low.tolist(), high.tolist(), strict=True):
+            spots, low, high = spots[low < high], low[low < high], high[low < high]
+            which = np.searchsorted(breaks, form.starts[spots])
+            for text, spot, a, b in zip(which.tolist(), spots.tolist(), low.tolist(), high.tolist(), strict=True):
                 for k in range(a, b):
-                    at = int(owner[k]), spot - int(place[k])
-                    met[at] = exact and met.get(at, True)
-        if not met:
-            return
-        words = [tokens[i] for i in keep.tolist()]
-        best: dict[int, tuple] = {}
-        for (item, shift), exact in met.items():
-            found = self._compare(item, shift, words, named, exact)
-            if found and (item not in best or found[2:4] > best[item][2:4]):
-                best[item] = found
-        for item, found in sorted(best.items()):
-            yield item, *found
+                    met.setdefault((text, int(owner[k]), kind), []).append(spot - int(place[k]))
+        best: dict[tuple[int, int], tuple] = {}
+        for (text, item, kind), spots in met.items():
+            form = forms[kind][0]
+            origin = int(breaks[text - 1]) + 1 if text else 0
+            bounds = np.searchsorted(form.starts, [origin, int(breaks[text])]).tolist()
+            for found in self._found(self.items[item][0 if kind == self.NAMED else 1], form, sorted(set(spots)), *bounds, origin, kind == self.EXACT):
+                if (text, item) not in best or found[2:4] > best[text, item][2:4]:
+                    best[text, item] = found
+        for (text, item), found in sorted(best.items()):
+            yield text, item, *found
 
     @staticmethod
-    def _long_run(same: np.ndarray, kind: np.ndarray) -> bool:
-        """Whether some ``RUN`` places in a row agree and enough of them are plain words."""
-        if len(same) < RUN:
-            return False
-        plain = np.concatenate([[0], np.cumsum(kind[same] == 0)])
-        return bool(((same[RUN - 1 :] - same[: len(same) - RUN + 1] == RUN - 1) & (plain[RUN:] - plain[:-RUN] >= RUN_LITERAL)).any())
-
-    def _compare(self, item: int, shift: int, tokens: list[str], hashes: np.ndarray, exact: bool = False) -> tuple[int, int, float, float, bool] | None:
-        """With ``exact`` only tokens that stand as they are in the item agree."""
-        words, wanted, kind = self.items[item]
-        low, high = max(0, -shift), min(len(words), len(tokens) - shift)
-        # A sentence's first word counts as itself wherever it stands.
-        plain = np.fromiter((words[i].lower() == tokens[i + shift].lower() for i in range(low, high)), bool, max(0, high - low))
-        same = np.flatnonzero(plain if exact else plain | (wanted[low:high] == hashes[low + shift : high + shift])) + low
-        covered = len(same) / len(words)
-        if covered < COVERAGE and not self._long_run(same, kind):
-            return None
-        slots = [(int(kind[i]), words[i].lower(), tokens[i + shift].lower()) for i in same.tolist() if kind[i]]
-        there: dict[tuple[int, str], str] = {}
-        back: dict[tuple[int, str], str] = {}
-        kept = sum(there.setdefault((k, a), b) == b and back.setdefault((k, b), a) == a for k, a, b in slots)
-        consistent = kept / len(slots) if slots else 1.0
-        if consistent < CONSISTENT:
-            return None
-        return int(same[0] + shift), int(same[-1] + shift), covered, consistent, covered == 1.0 and bool(plain.all())
+    def _found(item: _Side, form: Form, spots: list[int], low: int, high: int, origin: int, exact: bool) -> Iterator[tuple[int, int, float, float, bool]]:
+        """Alignments that count, around each place where the item would begin; a place that lies well inside an earlier one's stretch has been looked at."""
+        n, done = len(item.values), None
+        for spot in spots:
+            if done is not None and spot <= done:
+                continue
+            done = spot + n
+            text = _side(form, max(low, spot - n), min(high, spot + 3 * n), origin)
+            if found := _judged(item, text, align(item, text, exact)):
+                yield found
+
+
+def _long_run(item: _Side, pairs: list[tuple[int, int]]) -> bool:
+    """Whether some ``RUN`` successive tokens of both match and enough of them are plain words."""
+    at = np.array(pairs).reshape(-1, 2)
+    if len(at) < RUN:
+        return False
+    plain = np.concatenate([[0], np.cumsum(item.kinds[at[:, 0]] == 0)])
+    straight = (at[RUN - 1 :] - at[: len(at) - RUN + 1] == RUN - 1).all(axis=1)
+    return bool((straight & (plain[RUN:] - plain[:-RUN] >= RUN_LITERAL)).any())
+
+
+def _judged(item: _Side, text: _Side, pairs: list[tuple[int, int]]) -> tuple[int, int, float, float, bool] | None:
+    """(first and last word, coverage, consistency, verbatim), or None if the alignment does not count."""
+    covered = len(pairs) / len(item.values)
+    if not pairs or (covered < COVERAGE and not _long_run(item, pairs)):
+        return None
+    slots = [(int(item.kinds[i]), item.values[i], text.values[j]) for i, j in pairs if item.kinds[i]]
+    there: dict[tuple[int, str], str] = {}
+    back: dict[tuple[int, str], str] = {}
+    kept = sum(there.setdefault((k, a), b) == b and back.setdefault((k, b), a) == a for k, a, b in slots)
+    consistent = kept / len(slots) if slots else 1.0
+    if consistent < CONSISTENT:
+        return None
+    (_, first), (_, last) = pairs[0], pairs[-1]
+    verbatim = covered == 1.0 and last - first == len(pairs) - 1 and all(item.values[i] == text.values[j] for i, j in pairs)
+    return int(text.begins[first]), int(text.begins[last]) + text.values[last].count(" "), covered, consistent, verbatim
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
@@ -247,7 +360,7 @@ def _finder(block: list, kind: str):
         templates = Templates(block)
         canon = templates.canon()
         for batch in batches:
-            found = [(k, *a) for k, text in enumerate(batch["text"]) for a in templates.alignments(canon, text)]
+            found = list(templates.search(canon, batch["text"].tolist()))
             if found:
                 out = pd.DataFrame(found, columns=["k", "item_id", "first_token", "last_token", "coverage", "consistency", "verbatim"])
                 out.insert(0, "id", batch["id"].iloc[out.pop("k")].to_numpy())
@@ -270,6 +383,8 @@ def _contains(block: list):
         templates = Templates(block)
         canon = templates.canon()
         for batch in texts:
-            yield pd.Series([next(templates.alignments(canon, t), None) is not None for t in batch], dtype=bool)
+            out = np.zeros(len(batch), bool)
+            out[[k for k, *_ in templates.search(canon, batch.tolist())]] = True
+            yield pd.Series(out)
 
     return contains
