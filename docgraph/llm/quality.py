@@ -22,7 +22,10 @@ PLACES = 6
 #: Units on either side that count as context.
 SPAN = 2
 HIDDEN = 24
-EPOCHS = 300
+#: Steps of training and rows of each, whatever the number of rows.
+STEPS, BATCH = 1200, 256
+#: Fewer labels than this cannot be split into a part that trains and one that calibrates.
+LEAST = 10
 THRESHOLD = 0.3
 #: Units of a text that are looked at together.
 PIECE = 1 << 16
@@ -132,14 +135,15 @@ class Model:
 def fit_network(features: np.ndarray, labels: np.ndarray, vectors: np.ndarray, seed: int = 7) -> Model:
     """Two layers trained by Adam on four fifths of the rows; the rest sets the temperature (least log loss).
 
-    Without labels of both kinds the score is the share of label 1 (one half without any label).
+    Without labels of both kinds, or with fewer than ``LEAST`` labels, the score is the share of label 1 (one half
+    without any label).
     """
     mean, scale = (features.mean(axis=0), features.std(axis=0) + 1e-3) if len(features) else (np.zeros(FEATURES), np.ones(FEATURES))
     rng = np.random.default_rng(seed)
     model = Model(vectors, mean, scale, rng.normal(0, FEATURES**-0.5, (FEATURES, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0)
     share = (labels.sum() + 1) / (len(labels) + 2)
     model.b2 = float(np.log(share / (1 - share)))
-    if len(set(labels.tolist())) < 2 or len(labels) < 10:
+    if len(set(labels.tolist())) < 2 or len(labels) < LEAST:
         return model
     order = rng.permutation(len(labels))
     held, train = order[: len(order) // 5], order[len(order) // 5 :]
@@ -147,20 +151,21 @@ def fit_network(features: np.ndarray, labels: np.ndarray, vectors: np.ndarray, s
     model.w2 = rng.normal(0, HIDDEN**-0.5, HIDDEN)
     params = [model.w1, model.b1, model.w2, np.array([model.b2])]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(EPOCHS if len(y) < 2000 else EPOCHS // 5):
-        shuffled = rng.permutation(len(y))
-        for at in range(0, len(y), 256):
-            b = shuffled[at : at + 256]
-            hidden = np.tanh(x[b] @ params[0] + params[1])
-            p = 1 / (1 + np.exp(-np.clip(hidden @ params[2] + params[3][0], -30, 30)))
-            off = (p - y[b]) / len(b)
-            back = np.outer(off, params[2]) * (1 - hidden**2)
-            grads = [x[b].T @ back + 1e-4 * params[0], back.sum(axis=0), hidden.T @ off + 1e-4 * params[2], np.array([off.sum()])]
-            step += 1
-            for k, g in enumerate(grads):
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.999 * second[k] + 0.001 * g * g
-                params[k] -= 0.003 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+    shuffled = np.empty(0, np.int64)
+    while step < STEPS:
+        if not len(shuffled):
+            shuffled = rng.permutation(len(y))
+        b, shuffled = shuffled[:BATCH], shuffled[BATCH:]
+        hidden = np.tanh(x[b] @ params[0] + params[1])
+        p = 1 / (1 + np.exp(-np.clip(hidden @ params[2] + params[3][0], -30, 30)))
+        off = (p - y[b]) / len(b)
+        back = np.outer(off, params[2]) * (1 - hidden**2)
+        grads = [x[b].T @ back + 1e-4 * params[0], back.sum(axis=0), hidden.T @ off + 1e-4 * params[2], np.array([off.sum()])]
+        step += 1
+        for k, g in enumerate(grads):
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.999 * second[k] + 0.001 * g * g
+            params[k] -= 0.003 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
     model.w1, model.b1, model.w2, model.b2 = params[0], params[1], params[2], float(params[3][0])
     logits, truth = model.logits(features[held]), labels[held].astype(float)
     tried = np.geomspace(0.25, 8, 61)
@@ -170,8 +175,8 @@ def fit_network(features: np.ndarray, labels: np.ndarray, vectors: np.ndarray, s
 
 
 def held_out(id_column: Column) -> Column:
-    """The fifth of the ids that nothing is learnt from."""
-    return F.crc32(id_column.cast("string")) % 5 == 0
+    """The fifth of the ids that nothing is learnt from; a null id is not of them."""
+    return F.coalesce(F.crc32(id_column.cast("string")) % 5 == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, seed: int = 7) -> Model:
