@@ -19,10 +19,12 @@ from docgraph.plans.durable import cut
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 4
-#: Members of one key that are compared in one task; larger keys take the way of shared neighbours.
-BUCKET = 8192
-#: Runs up to this length are compared by shifts, longer ones as matrices.
+#: Members of one key that are compared in one task (24 bytes each); larger keys take the way of shared neighbours.
+BUCKET = 1 << 20
+#: Runs up to this length are compared by shifts, longer ones by breadth-first search.
 SHORT_RUN = 24
+#: Longer runs are cut into smaller ones by parts of the fingerprint before that.
+LONG_RUN = 512
 #: The generator of the binary Golay code (23, 12), as a polynomial over GF(2).
 GENERATOR = 0b110001110101
 
@@ -122,44 +124,70 @@ def _forest(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.empty(0, np.int64), *a]), np.concatenate([np.empty(0, np.int64), *b])
 
 
-def _verified(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
-    """Links among rows of equal key; rows come sorted by key, and a key may go on in the next batch."""
-    for keys, prints in _runs(batches):
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        sizes = np.diff(np.concatenate([starts, [len(keys)]]))
-        one, two = [], []
-        short = np.repeat(sizes <= SHORT_RUN, sizes)
-        k, p = keys[short], prints[short]
-        for shift in range(1, min(SHORT_RUN, len(k))):
-            same = np.flatnonzero(k[shift:] == k[:-shift])
-            if not len(same):
-                break
-            near = same[np.bitwise_count(p[same] ^ p[same + shift]) <= most]
-            one.append(p[near])
-            two.append(p[near + shift])
-        for start, size in zip(starts[sizes > SHORT_RUN], sizes[sizes > SHORT_RUN], strict=True):
-            run = prints[start : start + size]
+def _short_runs(keys: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): all links among runs of equal sorted keys that are at most ``SHORT_RUN`` long."""
+    one, two = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for shift in range(1, min(SHORT_RUN, len(keys))):
+        same = np.flatnonzero(keys[shift:] == keys[:-shift])
+        if not len(same):
+            break
+        near = same[np.bitwise_count(prints[same] ^ prints[same + shift]) <= most]
+        one.append(near)
+        two.append(near + shift)
+    return np.concatenate(one), np.concatenate(two)
+
+
+def _edges(keys: np.ndarray, prints: np.ndarray, most: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): edges that connect what is linked among rows of equal sorted keys.
+
+    Runs over ``LONG_RUN`` are keyed again by each of five parts of the fingerprint: of five parts one has none of the
+    four differing bits. ``whole`` tells that the keys are such parts.
+    """
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(keys)]]))
+    at = np.flatnonzero(np.repeat(sizes <= SHORT_RUN, sizes))
+    i, j = _short_runs(keys[at], prints[at], most)
+    one, two = [at[i]], [at[j]]
+    for start, size in zip(starts[sizes > SHORT_RUN].tolist(), sizes[sizes > SHORT_RUN].tolist(), strict=True):
+        run = prints[start : start + size]
+        if whole or size <= LONG_RUN:
             i, j = _forest(run, most)
-            one.append(run[i])
-            two.append(run[j])
-        if one and sum(map(len, one)):
-            pairs = np.unique(np.sort(np.stack([np.concatenate(one), np.concatenate(two)], 1).view(np.int64), axis=1), axis=0)
+            one.append(i + start)
+            two.append(j + start)
+            continue
+        for first in range(0, 64, 13):
+            part = (run >> np.uint64(first)) & np.uint64((1 << 13) - 1)
+            order = np.argsort(part, kind="stable")
+            i, j = _edges(part[order], run[order], most, True)
+            one.append(order[i] + start)
+            two.append(order[j] + start)
+    return np.concatenate(one), np.concatenate(two)
+
+
+def _verified(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """Links among rows (key, print, node) of equal key; rows come sorted by key, and a key may go on in the next batch."""
+    for keys, prints, nodes in _runs(batches):
+        i, j = _edges(keys, prints, most)
+        if len(i):
+            pairs = np.unique(np.sort(np.stack([nodes[i], nodes[j]], 1), axis=1), axis=0)
+            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
             yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(keys, fingerprints) in pieces that hold whole runs of equal keys."""
-    keys, prints = np.empty(0, np.int64), np.empty(0, np.uint64)
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, fingerprints, nodes) in pieces that hold whole runs of equal keys."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for batch in batches:
-        keys = np.concatenate([keys, batch["key"].to_numpy(np.int64)])
-        prints = np.concatenate([prints, batch["print"].to_numpy(np.int64).view(np.uint64)])
-        if len(keys):
-            last = np.searchsorted(keys, keys[-1])
-            if last:
-                yield keys[:last], prints[:last]
-            keys, prints = keys[last:], prints[last:]
-    if len(keys):
-        yield keys, prints
+        if not len(batch):
+            continue
+        keys, prints, nodes = batch["key"].to_numpy(np.int64), batch["print"].to_numpy(np.int64).view(np.uint64), batch["node"].to_numpy(np.int64)
+        last = np.searchsorted(keys, keys[-1])
+        if last or (held and held[-1][0][-1] != keys[0]):
+            yield tuple(np.concatenate(x) for x in zip(*held, (keys[:last], prints[:last], nodes[:last]), strict=True))
+            held = []
+        held.append((keys[last:], prints[last:], nodes[last:]))
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
 def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,7 +196,7 @@ def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for at in range(0, len(batch), 20_000):
             prints = batch["print"].to_numpy(np.int64)[at : at + 20_000]
             rows, keys = golay_keys(prints.view(np.uint64), table)
-            yield pd.DataFrame({"key": keys, "print": prints[rows]})
+            yield pd.DataFrame({"key": keys, "print": prints[rows], "node": prints[rows]})
 
 
 def links(prints: DataFrame, most: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
@@ -181,7 +209,7 @@ def links(prints: DataFrame, most: int = MAX_BITS, bucket: int = BUCKET) -> Data
     """
     if not 0 <= most <= MAX_BITS:
         raise ValueError(f"the keys hold for at most {MAX_BITS} bits")
-    keyed = prints.select("print").filter("print is not null").distinct().mapInPandas(_keyed, "key long, print long")
+    keyed = prints.select("print").filter("print is not null").distinct().mapInPandas(_keyed, "key long, print long, node long")
     crowded = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket).select("key"))
     busy = bool(crowded.take(1))
     quiet = keyed.join(crowded, "key", "left_anti") if busy else keyed
@@ -214,9 +242,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated. A null id is never a component's id unless no member has another. An empty table gives no rows.
     """
     rows = cut(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), size, seed).alias("print")))
+    # A fingerprint goes by its least id (nulls last), so that the least of a component names it.
     least = rows.groupBy("print").agg(F.min("id").alias("least"))
-    root = connected_components(links(rows.select("print"), most)).select(F.col("node").alias("print"), F.col("component").alias("root"))
-    rooted = least.join(root, "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    label = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(label, "root").select("print", "component_id")
+    named = cut(least.select("print", F.struct(F.col("least").isNull().alias("none"), "least", "print").alias("name")))
+    found = links(named.select("print"), most)
+    edges = found.join(named.select(F.col("print").alias("a"), F.col("name").alias("x")), "a").join(named.select(F.col("print").alias("b"), F.col("name").alias("y")), "b")
+    root = connected_components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    linked = root.select(F.col("node.print").alias("print"), F.col("component.least").alias("other"), F.lit(True).alias("found"))
+    labels = named.join(linked, "print", "left").select("print", F.when(F.col("found"), F.col("other")).otherwise(F.col("name.least")).alias("component_id"))
     return rows.join(labels, "print").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
