@@ -171,17 +171,37 @@ def _pair(fields: Fields, path: str, value: Any) -> tuple[Column, Column] | None
     return fields.get(path, "string"), F.lit(str(value))
 
 
+def _whole(value: Any) -> int | None:
+    """A number without a fraction that fits 64 bits, as an int."""
+    if isinstance(value, bool) or not isinstance(value, int | float) or value != value or value in (float("inf"), float("-inf")):
+        return None
+    return int(value) if value == int(value) and -(1 << 63) <= value < 1 << 63 else None
+
+
+_COMPARE = {"=": lambda a, b: a == b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}
+
+
+def _is_integer(fields: Fields, path: str) -> Column:
+    """Whether a field of a document holds an integer: a double would round large ones."""
+    return F.coalesce(F.schema_of_variant(fields.value(path)) == "BIGINT", F.lit(False))
+
+
 def _compare(fields: Fields, path: str, op: str, value: Any) -> Column:
     if value is None:
         return fields.null(path) if op == "=" else fields.present(path) & ~fields.null(path) if op == "!=" else F.lit(False)
     pair = _pair(fields, path, value)
+    whole = _whole(value)
+    if pair is not None and whole is not None and isinstance(fields.kind(path), T.VariantType):
+        same, exact = "=" if op == "!=" else op, fields.get(path, "bigint")
+        found = F.when(_is_integer(fields, path), _COMPARE[same](exact, F.lit(whole).cast("bigint"))).otherwise(_COMPARE[same](*pair))
+        return fields.present(path) & ~F.coalesce(found, F.lit(False)) if op == "!=" else found
     if pair is None:
         return fields.present(path) if op == "!=" else F.lit(False)
     a, b = pair
     if op == "!=":
         # A present field of another type differs from the value.
         return fields.present(path) & ~F.coalesce(a == b, F.lit(False))
-    return {"=": a == b, ">": a > b, ">=": a >= b, "<": a < b, "<=": a <= b}[op]
+    return _COMPARE[op](a, b)
 
 
 def _regex_ok(pattern: str) -> bool:
@@ -206,7 +226,11 @@ def _leaf(leaf: Leaf, fields: Fields) -> Column:
         kinds = {type(v) for v in value}
         pairs = [_pair(fields, path, v) for v in value] if kinds in ({int}, {float}, {int, float}, {str}) else []
         if pairs and all(p is not None for p in pairs):
-            among = F.coalesce(pairs[0][0].isin([p[1] for p in pairs]), F.lit(False))
+            among = pairs[0][0].isin([p[1] for p in pairs])
+            whole = [F.lit(w).cast("bigint") for v in value if (w := _whole(v)) is not None]
+            if whole and isinstance(fields.kind(path), T.VariantType):
+                among = F.when(_is_integer(fields, path), fields.get(path, "bigint").isin(whole)).otherwise(among)
+            among = F.coalesce(among, F.lit(False))
         else:
             among = reduce(lambda x, y: x | y, (F.coalesce(_compare(fields, path, "=", v), F.lit(False)) for v in value), F.lit(False))
         return among if op == "in" else fields.present(path) & ~among
@@ -239,15 +263,27 @@ def lower(condition, fields: Fields) -> Column:
     return either if isinstance(condition, Or) else ~either
 
 
+def _kept(condition, fields: Fields) -> Column:
+    """A column that is true just where the predicate holds; elsewhere false or null, which a filter drops alike.
+
+    AND and OR of leaves need no guard, so they reach the scan; what stands below NOT does.
+    """
+    if isinstance(condition, Leaf):
+        return _leaf(condition, fields)
+    if isinstance(condition, And | Or):
+        parts = [_kept(p, fields) for p in condition.parts]
+        return reduce(lambda x, y: x & y, parts, F.lit(True)) if isinstance(condition, And) else reduce(lambda x, y: x | y, parts) if parts else F.lit(False)
+    return lower(condition, fields)
+
+
 def where(df: DataFrame, condition) -> DataFrame:
-    """The rows that match; leaves without a guard so that simple ones reach the scan."""
+    """The rows that match; what stands outside NOT without a guard so that it reaches the scan."""
     if Condition.is_empty(condition):
         return df
     fields = Fields(df.schema)
     if isinstance(condition, And):
         return reduce(where, condition.parts, df)
-    # A filter drops nulls by itself; the guard only matters below NOT.
-    return df.filter(_leaf(condition, fields) if isinstance(condition, Leaf) else lower(condition, fields))
+    return df.filter(_kept(condition, fields))
 
 
 def matches(condition, doc: dict) -> bool:
@@ -288,7 +324,8 @@ def matches(condition, doc: dict) -> bool:
         return isinstance(want, bool) and isinstance(value, bool) and {">": value > want, ">=": value >= want, "<": value < want, "<=": value <= want}[op]
     if isinstance(want, int | float):
         try:
-            value = float(value)
+            # Two integers meet as such: floats would round large ones.
+            value = value if isinstance(value, int) and isinstance(want, int) else float(value)
         except (TypeError, ValueError):
             return False
     else:
@@ -303,7 +340,7 @@ def _same(value: Any, want: Any) -> bool:
         return str(value).lower() == str(want).lower() if isinstance(value, str | bool) else False
     if isinstance(want, int | float):
         try:
-            return not isinstance(value, bool) and float(value) == float(want)
+            return not isinstance(value, bool) and (value == want if isinstance(value, int) and isinstance(want, int) else float(value) == float(want))
         except (TypeError, ValueError):
             return False
     return (value if isinstance(value, str) else json.dumps(value, separators=(",", ":"))) == want

@@ -106,11 +106,6 @@ def drop(doc: Column, path: list[str]) -> Column:
     return F.when(inner.isNotNull(), put(doc, path[:1], drop(F.to_variant_object(inner), path[1:]))).otherwise(doc)
 
 
-def _as_variant(number: Column, whole: Column) -> Column:
-    """A double as a JSON number, without a fraction where ``whole``."""
-    return F.parse_json(F.when(whole, number.try_cast("bigint").cast("string")).otherwise(number.cast("string")))
-
-
 def _variant_value(op: Operation, doc: Column, now: Column) -> Column:
     """The new value of the field of a document."""
     path, value = json_path(op.path), op.value
@@ -123,13 +118,22 @@ def _variant_value(op: Operation, doc: Column, now: Column) -> Column:
         return variant(value)
     if op.name == "now":
         return F.parse_json(now.cast("string"))
+    integer = F.when(numeric == "BIGINT", F.try_variant_get(doc, path, "bigint"))
     if op.name in ("inc", "mul"):
         start = F.when(is_number, number).otherwise(F.lit(0.0 if op.name == "inc" else 1.0))
-        whole = (~is_number | (numeric == "BIGINT")) & F.lit(isinstance(value, int))
-        return _as_variant(start + value if op.name == "inc" else start * value, whole)
+        changed = start + value if op.name == "inc" else start * value
+        if not isinstance(value, int) or not -(1 << 63) <= value < 1 << 63:
+            return F.parse_json(changed.cast("string"))
+        # Integers stay integers, beyond what a double holds exactly, unless they outgrow 64 bits.
+        base = F.coalesce(integer, F.when(~is_number | numeric.isNull(), F.lit(0 if op.name == "inc" else 1).cast("bigint")))
+        by = F.lit(value).cast("bigint")
+        exact = F.try_add(base, by) if op.name == "inc" else F.try_multiply(base, by)
+        return F.parse_json(F.coalesce(exact.cast("string"), changed.cast("string")))
     if op.name in ("min", "max"):
         if isinstance(value, int | float):
             better = number < value if op.name == "min" else number > value
+            if isinstance(value, int) and -(1 << 63) <= value < 1 << 63:
+                better = F.coalesce(integer < value if op.name == "min" else integer > value, better)
         else:
             text = F.try_variant_get(doc, path, "string")
             better = text < value if op.name == "min" else text > value
