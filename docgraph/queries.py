@@ -180,12 +180,21 @@ def doc_update(spark, sf_dir):
     return documents.update(table(spark, sf_dir, "customer"), Leaf("c_mktsegment", "=", "BUILDING"), spec.operations).select("c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey")
 
 
-@query(f"select _id, case when k > 50 then coalesce(k, 0) + 3 else k end as k, case when k > 50 then 'hot' end as label, case when k > 50 then null else user_id end as user, case when k > 50 then 3 * k + 9 end as tripled from {_EVENTS}")
+@query(f"select _id, case when k > 50 then coalesce(k, 0) + 3 else k end as k, case when k > 50 then 'hot' end as label, case when k > 50 then null else user_id end as user, case when k > 50 then 6 end as tripled from {_EVENTS}")
 def doc_update_variant(spark, sf_dir):
-    spec = UpdateSpec().inc("props.k", 3).set("label", "hot").unset("user").inc("tripled", 0).max("tripled", 1)
+    spec = UpdateSpec().inc("props.k", 3).set("label", "hot").unset("user").inc("tripled", 2).mul("tripled", 3)
     out = documents.update(event_documents(spark, sf_dir), Leaf("props.k", ">", 50), spec.operations)
     get = lambda path, kind: F.try_variant_get("doc", path, kind)
-    return out.select("_id", get("$.props.k", "bigint").alias("k"), get("$.label", "string").alias("label"), get("$.user", "bigint").alias("user"), F.when(get("$.tripled", "bigint").isNotNull(), get("$.props.k", "bigint") * 3).alias("tripled"))
+    return out.select("_id", get("$.props.k", "bigint").alias("k"), get("$.label", "string").alias("label"), get("$.user", "bigint").alias("user"), get("$.tripled", "bigint").alias("tripled"))
+
+
+@query(f"select _id, case when k < 60 then 3 * k else k end as k, case when k < 60 then 7 end as low, case when k < 60 then 'b' end as tags, case when k < 60 then type end as kind, case when k >= 60 then type end as type from {_EVENTS}")
+def doc_update_more(spark, sf_dir):
+    """MULTIPLY, SET MIN, PULL ALL and RENAME."""
+    spec = UpdateSpec().mul("props.k", 3).set("low", 9).min("low", 7).push_all("tags", ["a", "b", "a", "c"]).pull_all("tags", ["a", "c"]).rename("type", "kind")
+    out = documents.update(event_documents(spark, sf_dir), Leaf("props.k", "<", 60), spec.operations)
+    get = lambda path, kind: F.try_variant_get("doc", path, kind)
+    return out.select("_id", get("$.props.k", "bigint").alias("k"), get("$.low", "bigint").alias("low"), F.array_join(get("$.tags", "array<string>"), ",").alias("tags"), get("$.kind", "string").alias("kind"), get("$.type", "string").alias("type"))
 
 
 @query(f"select _id, case when k < 30 then 'a,b' || case when k < 10 then '' else '' end else null end as tags from {_EVENTS}")
@@ -214,20 +223,17 @@ def doc_last_write(spark, sf_dir):
 
 # Graphs
 
-_PAIRS = "(select a.user_id::varchar as src, b.user_id::varchar as dst, a.event_type as ta, b.event_type as tb, a.event_id as e from events a join events b on b.event_id = a.event_id + 1 where a.user_id <> b.user_id)"
+_PAIRS = "(select a.user_id::varchar as src, b.user_id::varchar as dst from events a join events b on b.event_id = a.event_id + 1 where a.user_id <> b.user_id)"
 _DENSE = f"dense as (select distinct src, dst from {_PAIRS})"
-_SPARSE = f"sparse as (select distinct src, dst from {_PAIRS} where ta = 'signup' and tb = 'signup' and e % 3 = 0)"
 _NODES = "nodes as (select distinct user_id::varchar as id from events)"
 _BOTH = "both_ways as (select src, dst from {0} union select dst, src from {0})"
 
 
-def interactions(spark: SparkSession, sf_dir: str, sparse: bool = False) -> Graph:
+def interactions(spark: SparkSession, sf_dir: str) -> Graph:
     """Users, and an edge from the user of each event to that of the next, if they differ."""
-    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("user"), "event_type")
-    after = events.select((F.col("event_id") - 1).alias("event_id"), F.col("user").alias("next"), F.col("event_type").alias("next_type"))
+    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("user"))
+    after = events.select((F.col("event_id") - 1).alias("event_id"), F.col("user").alias("next"))
     pairs = events.join(after, "event_id").filter("user <> next")
-    if sparse:
-        pairs = pairs.filter("event_type = 'signup' and next_type = 'signup' and event_id % 3 = 0")
     definition = GraphDefinition("interactions", nodes=[NodeMapping("User", "events", "user")], edges=[EdgeMapping("NEXT", "pairs", "user", "next")])
     return model.build(definition, {"events": events, "pairs": pairs}, spark, count=False)
 
@@ -325,14 +331,16 @@ def graph_traverse(spark, sf_dir):
     return graphs.traverse(geography(spark, sf_dir), "r:1", "in", None, 2, 0)
 
 
-_BFS = f"""with recursive {_SPARSE}, {_BOTH.format("sparse")},
-walk(id, distance) as (select '0', 0 union select dst, distance + 1 from walk join both_ways on src = id where distance < 12),
+def _bfs(start: str) -> str:
+    """Distances either way from a node, up to the operators' twelve steps."""
+    return f"""with recursive {_DENSE}, {_BOTH.format("dense")},
+walk(id, distance) as (select '{start}', 0 union select dst, distance + 1 from walk join both_ways on src = id where distance < 12),
 far as (select id, min(distance) as distance from walk group by id)"""
 
 
-@query(f"{_BFS} select id, distance from far where distance between 1 and 12")
+@query(f"{_bfs('0')} select id, distance from far where distance between 1 and 12")
 def graph_neighborhood(spark, sf_dir):
-    return algorithms.neighborhood(interactions(spark, sf_dir, True), "0", 12, 0)
+    return algorithms.neighborhood(interactions(spark, sf_dir), "0", 12, 0)
 
 
 @query(f"with {_DENSE}, {_NODES}, ids as (select id, row_number() over (order by id) - 1 as idx from nodes) select a.idx as src_idx, b.idx as dst_idx, 'NEXT' as edge_type, 0 as edge_type_id from dense join ids a on src = a.id join ids b on dst = b.id")
@@ -345,6 +353,11 @@ def graph_csr(spark, sf_dir):
     return graphs.export_csr(interactions(spark, sf_dir))[0]
 
 
+@query(f"with {_DENSE}, {_NODES}, ids as (select id, row_number() over (order by id) - 1 as idx from nodes) select row_number() over (order by a.idx, b.idx) - 1 as position, b.idx as dst_idx from dense join ids a on src = a.id join ids b on dst = b.id")
+def graph_csr_columns(spark, sf_dir):
+    return graphs.export_csr(interactions(spark, sf_dir))[1].select("position", "dst_idx")
+
+
 # Algorithms
 
 
@@ -358,11 +371,11 @@ def algo_get_friends(spark, sf_dir):
     return algorithms.friends(interactions(spark, sf_dir), "0")
 
 
-@query(f"""with {_SPARSE}, {_BOTH.format("sparse")}, direct as (select dst from both_ways where src = '0')
+@query(f"""with {_DENSE}, {_BOTH.format("dense")}, direct as (select dst from both_ways where src = '0')
 select b.dst as id, count(*) as mutual_friends from direct d join both_ways b on b.src = d.dst
 where b.dst <> '0' and b.dst not in (select dst from direct) group by 1 order by 2 desc, 1 limit 10""")
 def algo_friend_suggestion(spark, sf_dir):
-    return algorithms.friend_suggestions(interactions(spark, sf_dir, True), "0")
+    return algorithms.friend_suggestions(interactions(spark, sf_dir), "0")
 
 
 @query(f"""with {_DENSE}, {_NODES} select id, 'User' as type, (select count(*) from dense where dst = id) as "in", (select count(*) from dense where src = id) as "out", (select count(*) from dense where dst = id or src = id) as total from nodes order by total desc, id limit 10""")
@@ -370,13 +383,13 @@ def algo_most_connected(spark, sf_dir):
     return algorithms.most_connected(interactions(spark, sf_dir), 10, "total", "User")
 
 
-@query(f"""with {_SPARSE}, {_NODES}, d as (select id, (select count(*) from sparse where dst = id) as i, (select count(*) from sparse where src = id) as o from nodes),
+@query(f"""with {_DENSE}, {_NODES}, d as (select id, (select count(*) from dense where dst = id) as i, (select count(*) from dense where src = id) as o from nodes),
 r as (select i + o as total, row_number() over (order by i + o) as turn, count(*) over () as n from d)
 select count(*) as active_nodes, min(i + o) as min_degree, max(i + o) as max_degree, avg(i + o) as avg_degree, max(i) as max_in, max(o) as max_out, avg(o) as avg_out,
-count(*) filter (where i + o = 0) as isolated_nodes, (select count(*) from sparse) as active_edges, (select total from r where turn = n // 2 + 1) as median_degree,
-round((select count(*) from sparse)::double / (count(*) * (count(*) - 1)), 6) as density from d""")
+count(*) filter (where i + o = 0) as isolated_nodes, (select count(*) from dense) as active_edges, (select total from r where turn = n // 2 + 1) as median_degree,
+round((select count(*) from dense)::double / (count(*) * (count(*) - 1)), 6) as density from d""")
 def algo_network_stats(spark, sf_dir):
-    return algorithms.network_stats(interactions(spark, sf_dir, True))
+    return algorithms.network_stats(interactions(spark, sf_dir))
 
 
 @query(f"with {_GEO_NODES}, {_GEO_EDGES} select 'node' as kind, type, count(*) as count from geo_nodes group by type union all select 'edge', type, count(*) from geo_edges group by type")
@@ -384,142 +397,91 @@ def algo_type_counts(spark, sf_dir):
     return algorithms.type_counts(geography(spark, sf_dir))
 
 
-@query(f"{_BFS} select count(*) > 0 as connected, coalesce(min(distance), -1) as hops from far where id = '1'")
+@query(f"{_bfs('0')} select count(*) > 0 as connected, coalesce(min(distance), -1) as hops from far where id = '1'")
 def algo_are_connected(spark, sf_dir):
-    return algorithms.are_connected(interactions(spark, sf_dir, True), "0", "1")
+    return algorithms.are_connected(interactions(spark, sf_dir), "0", "1")
 
 
-@query(f"""with recursive {_SPARSE}, {_BOTH.format("sparse")},
-walk(id, path, n) as (select '0', ['0'], 0 union all select dst, list_append(path, dst), n + 1 from walk join both_ways on src = id where n < 6 and not list_contains(path, dst)),
-best as (select path, n from walk where id = '1' order by n, path limit 1)
-select count(*) > 0 as found, coalesce(min(n), -1) as hops, coalesce(min(array_to_string(path, '>')), '') as path from best""")
+# From the start, always on to the least node that is a step nearer to the target.
+@query(f"""{_bfs("1")}, way(id, hops, path) as (
+  select id, distance, ['0'] from far where id = '0'
+  union all select min(b.dst), w.hops - 1, list_append(any_value(w.path), min(b.dst))
+  from way w join both_ways b on b.src = w.id join far f on f.id = b.dst and f.distance = w.hops - 1 group by w.hops)
+select count(*) > 0 as found, coalesce(min(len(path)) - 1, -1)::int as hops, coalesce(min(array_to_string(path, '>')), '') as path from way where hops = 0""")
 def algo_shortest_path(spark, sf_dir):
-    found = algorithms.shortest_path(interactions(spark, sf_dir, True), "0", "1", most=6)
+    found = algorithms.shortest_path(interactions(spark, sf_dir), "0", "1")
     return found.select("found", "hops", F.array_join("path", ">").alias("path"))
 
 
-@query(f"""with recursive {_SPARSE}, {_NODES}, {_BOTH.format("sparse")},
+@query(f"""with recursive {_DENSE}, {_NODES}, {_BOTH.format("dense")},
 reach(id, other) as (select id, id from nodes union select r.id, b.dst from reach r join both_ways b on b.src = r.other)
 select id, min(other) as component from reach group by id""")
 def algo_components(spark, sf_dir):
-    return algorithms.components(interactions(spark, sf_dir, True))
+    return algorithms.components(interactions(spark, sf_dir))
 
 
-@query(f"""with recursive {_DENSE}, walk(id, distance) as (select '0', 0 union select dst, distance + 1 from walk join dense on src = id where distance < 3)
-select '0' as source, id, min(distance) as distance from walk where id <> '0' group by id""")
+@query(f"""with recursive {_DENSE}, {_NODES}, walk(id, distance) as (select '0', 0 union select dst, distance + 1 from walk join dense on src = id where distance < (select count(*) from nodes))
+select '0' as source, id, min(distance)::int as distance from walk where id <> '0' group by id""")
 def algo_distances(spark, sf_dir):
-    return algorithms.all_distances(interactions(spark, sf_dir), "0", max_hops=3)
+    return algorithms.all_distances(interactions(spark, sf_dir), "0")
+
 
+#: Steps at which the SQL of all pairs stops; no two nodes of the tables that it runs on are that far apart.
+_FARTHEST = 16
 
-@query(f"""with recursive {_SPARSE}, {_NODES}, walk(source, id, distance) as (select id, id, 0 from nodes union select source, dst, distance + 1 from walk join sparse on src = id where distance < 4)
+
+@query(f"""with recursive {_DENSE}, {_NODES}, walk(source, id, distance) as (select id, id, 0 from nodes union select source, dst, distance + 1 from walk join dense on src = id where distance < {_FARTHEST})
 select source, id, min(distance) as distance from walk group by source, id having min(distance) > 0""")
 def algo_distances_all(spark, sf_dir):
-    return algorithms.all_distances(interactions(spark, sf_dir, True), everything=True, max_hops=4)
+    return algorithms.all_distances(interactions(spark, sf_dir), everything=True)
 
 
 def _propagated(rounds: int) -> str:
-    parts = [f"with {_SPARSE}", _NODES, "steps as (select src, dst from sparse union all select dst, src from sparse)", "l0 as (select id, id as community from nodes)"]
+    parts = [f"with {_DENSE}", _NODES, "steps as (select src, dst from dense union all select dst, src from dense)", "l0 as (select id, id as community from nodes)"]
     for k in range(1, rounds + 1):
         votes = f"(select s.src as id, l.community from steps s join l{k - 1} l on l.id = s.dst union all select id, community from l{k - 1})"
-        parts.append(f"l{k} as (select id, community from (select id, community, row_number() over (partition by id order by count(*) desc, community) as turn from {votes} v group by id, community) x where turn = 1)")
+        parts.append(f"l{k} as materialized (select id, community from (select id, community, row_number() over (partition by id order by count(*) desc, community) as turn from {votes} v group by id, community) x where turn = 1)")
     return ", ".join(parts) + f" select id, community from l{rounds}"
 
 
-@query(_propagated(4))
+@query(_propagated(10))
 def algo_communities(spark, sf_dir):
-    return algorithms.communities(interactions(spark, sf_dir, True), 4)
+    return algorithms.communities(interactions(spark, sf_dir))
 
 
 def _ranked(rounds: int) -> str:
-    parts = [f"with {_SPARSE}", _NODES, "outs as (select src, count(*) as outs from sparse group by src)", "r0 as (select id, 1.0::double / count(*) over () as rank from nodes)"]
+    parts = [f"with {_DENSE}", _NODES, "outs as (select src, count(*) as outs from dense group by src)", "r0 as (select id, 1.0::double / count(*) over () as rank from nodes)"]
     for k in range(1, rounds + 1):
         lost = f"(select coalesce(sum(rank), 0) from r{k - 1} where id not in (select src from outs))"
-        got = f"(select s.dst as id, sum(r.rank / o.outs) as got from sparse s join r{k - 1} r on r.id = s.src join outs o on o.src = s.src group by s.dst)"
-        parts.append(f"r{k} as (select n.id, (0.15::double + 0.85::double * {lost}) / (select count(*) from nodes) + 0.85::double * coalesce(g.got, 0) as rank from nodes n left join {got} g on g.id = n.id)")
+        got = f"(select s.dst as id, sum(r.rank / o.outs) as got from dense s join r{k - 1} r on r.id = s.src join outs o on o.src = s.src group by s.dst)"
+        parts.append(f"r{k} as materialized (select n.id, (0.15::double + 0.85::double * {lost}) / (select count(*) from nodes) + 0.85::double * coalesce(g.got, 0) as rank from nodes n left join {got} g on g.id = n.id)")
     return ", ".join(parts) + f" select id, round(rank, 6) as rank from r{rounds}"
 
 
-@query(_ranked(5))
+@query(_ranked(20))
 def algo_pagerank(spark, sf_dir):
-    return algorithms.pagerank(interactions(spark, sf_dir, True), 5).select("id", F.round("rank", 6).alias("rank"))
-
-
-@query()
+    return algorithms.pagerank(interactions(spark, sf_dir)).select("id", F.round("rank", 6).alias("rank"))
+
+
+# Shortest paths are counted level by level; a node's score is its share of the paths between all others.
+@query(f"""with recursive {_DENSE}, {_NODES}, {_BOTH.format("dense")},
+walk(s, t, d) as (select id, id, 0 from nodes union select s, dst, d + 1 from walk join both_ways on src = t where d < {_FARTHEST}),
+far as materialized (select s, t, min(d) as d from walk group by s, t),
+counted(s, t, d, n) as (
+  select id, id, 0, 1.0::double from nodes
+  union all select c.s, b.dst, c.d + 1, sum(c.n) from counted c join both_ways b on b.src = c.t join far f on f.s = c.s and f.t = b.dst and f.d = c.d + 1 group by c.s, b.dst, c.d),
+ways as materialized (select s, t, d, n from counted),
+score as (
+  select a.t as id, sum(a.n * b.n / w.n) as score from ways a join ways b on b.s = a.t join ways w on w.s = a.s and w.t = b.t and w.d = a.d + b.d
+  where a.s <> a.t and b.s <> b.t and a.s <> b.t group by a.t)
+select id, round(coalesce(score, 0) / greatest(1, ((select count(*) from nodes) - 1) * ((select count(*) from nodes) - 2)), 6) as betweenness from nodes left join score using (id)""")
 def algo_betweenness(spark, sf_dir):
-    return algorithms.betweenness(interactions(spark, sf_dir, True)).select("id", F.round("betweenness", 6).alias("betweenness"))
-
-
-@query(f"""with recursive {_SPARSE}, {_NODES}, {_BOTH.format("sparse")},
-reach(id, other) as (select id, id from nodes union select r.id, b.dst from reach r join both_ways b on b.src = r.other)
-select 1 as selection_order, max(n)::double as reach from (select count(*) as n from reach group by id) x""")
-def algo_influence(spark, sf_dir):
-    return algorithms.influence(interactions(spark, sf_dir, True), 1, 1, 1.0).select("selection_order", "reach")
-
-
-# Algorithms on the whole interaction graph, with the operators' own parameters. The queries above with _SPARSE keep
-# 1-2 % of its pairs, for their SQL; these have no SQL, but for one, and tests compare them with plain versions.
-
-
-@query()
-def graph_neighborhood_whole(spark, sf_dir):
-    return algorithms.neighborhood(interactions(spark, sf_dir), "0", 12, 0)
-
-
-@query(f"""with {_DENSE}, {_BOTH.format("dense")}, direct as (select dst from both_ways where src = '0')
-select b.dst as id, count(*) as mutual_friends from direct d join both_ways b on b.src = d.dst
-where b.dst <> '0' and b.dst not in (select dst from direct) group by 1 order by 2 desc, 1 limit 10""")
-def algo_friend_suggestion_whole(spark, sf_dir):
-    return algorithms.friend_suggestions(interactions(spark, sf_dir), "0")
+    return algorithms.betweenness(interactions(spark, sf_dir)).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
 @query()
-def algo_network_stats_whole(spark, sf_dir):
-    return algorithms.network_stats(interactions(spark, sf_dir))
-
-
-@query()
-def algo_are_connected_whole(spark, sf_dir):
-    return algorithms.are_connected(interactions(spark, sf_dir), "0", "1")
-
-
-@query()
-def algo_components_whole(spark, sf_dir):
-    return algorithms.components(interactions(spark, sf_dir))
-
-
-@query()
-def algo_communities_whole(spark, sf_dir):
-    return algorithms.communities(interactions(spark, sf_dir))
-
-
-@query()
-def algo_pagerank_whole(spark, sf_dir):
-    return algorithms.pagerank(interactions(spark, sf_dir))
-
-
-@query()
-def algo_betweenness_whole(spark, sf_dir):
-    return algorithms.betweenness(interactions(spark, sf_dir))
-
-
-@query()
-def algo_shortest_path_whole(spark, sf_dir):
-    found = algorithms.shortest_path(interactions(spark, sf_dir), "0", "1")
-    return found.select("found", "hops", F.array_join("path", ">").alias("path"))
-
-
-@query()
-def algo_distances_whole(spark, sf_dir):
-    return algorithms.all_distances(interactions(spark, sf_dir), "0")
-
-
-@query()
-def algo_distances_all_whole(spark, sf_dir):
-    return algorithms.all_distances(interactions(spark, sf_dir), everything=True)
-
-
-@query()
-def algo_influence_whole(spark, sf_dir):
+def algo_influence(spark, sf_dir):
+    """Five seeds of twenty random cascades: the coins are beyond SQL; a test compares them with plain cascades."""
     return algorithms.influence(interactions(spark, sf_dir))
 
 

@@ -35,17 +35,17 @@ def test_reach(spark, small, both):
     folder, users, _ = small
     far = bfs(both, "0")
     run = lambda name: queries.QUERIES[name](spark, folder).collect()
-    assert {r.id: r.distance for r in run("graph_neighborhood_whole")} == {n: d for n, d in far.items() if 0 < d <= 12}
-    assert [tuple(r) for r in run("algo_are_connected_whole")] == [(True, far["1"])]
-    assert {r.id: r.component for r in run("algo_components_whole")} == {n: min(bfs(both, n)) for n in users}
+    assert {r.id: r.distance for r in run("graph_neighborhood")} == {n: d for n, d in far.items() if 0 < d <= 12}
+    assert [tuple(r) for r in run("algo_are_connected")] == [(True, far["1"])]
+    assert {r.id: r.component for r in run("algo_components")} == {n: min(bfs(both, n)) for n in users}
     shared = Counter(y for x in both["0"] for y in both[x] if y != "0" and y not in both["0"])
-    assert [(r.id, r.mutual_friends) for r in run("algo_friend_suggestion_whole")] == sorted(shared.items(), key=lambda x: (-x[1], x[0]))[:10]
+    assert [(r.id, r.mutual_friends) for r in run("algo_friend_suggestion")] == sorted(shared.items(), key=lambda x: (-x[1], x[0]))[:10]
 
 
 def test_ranks(spark, small, both):
     folder, users, pairs = small
     run = lambda name: queries.QUERIES[name](spark, folder).collect()
-    stats = run("algo_network_stats_whole")[0]
+    stats = run("algo_network_stats")[0]
     assert (stats.active_nodes, stats.active_edges) == (len(users), len(pairs))
     outs, rank = Counter(a for a, _ in pairs), {n: 1 / len(users) for n in users}
     for _ in range(20):
@@ -54,7 +54,7 @@ def test_ranks(spark, small, both):
         for a, b in pairs:
             fresh[b] += 0.85 * rank[a] / outs[a]
         rank = fresh
-    assert {r.id: r.rank for r in run("algo_pagerank_whole")} == pytest.approx(rank)
+    assert {r.id: r.rank for r in run("algo_pagerank")} == pytest.approx(rank, abs=1e-6)
     label = {n: n for n in users}
     for _ in range(10):
         votes = {n: Counter([label[n]]) for n in users}
@@ -62,7 +62,7 @@ def test_ranks(spark, small, both):
             votes[a][label[b]] += 1
             votes[b][label[a]] += 1
         label = {n: min(v, key=lambda x: (-v[x], x)) for n, v in votes.items()}
-    assert {r.id: r.community for r in run("algo_communities_whole")} == label
+    assert {r.id: r.community for r in run("algo_communities")} == label
     far = {n: bfs(both, n) for n in users}
     ways = {}
     for s in users:
@@ -72,7 +72,7 @@ def test_ranks(spark, small, both):
     passed = lambda s, v, t: ways[s][v] * ways[v][t] / ways[s][t] if far[s].get(v, 99) + far[v].get(t, 99) == far[s].get(t) else 0
     norm = (len(users) - 1) * (len(users) - 2)
     want = {v: sum(passed(s, v, t) for s in users for t in users if len({s, t, v}) == 3) / norm for v in users}
-    assert {r.id: r.betweenness for r in run("algo_betweenness_whole")} == pytest.approx(want)
+    assert {r.id: r.betweenness for r in run("algo_betweenness")} == pytest.approx(want, abs=1e-6)
 
 
 @pytest.fixture(scope="module")
@@ -85,16 +85,16 @@ def chain(spark, tmp_path_factory):
 
 def test_far(spark, small, chain):
     """No bound of three, four or six steps."""
-    row = queries.QUERIES["algo_shortest_path_whole"](spark, chain).first()
+    row = queries.QUERIES["algo_shortest_path"](spark, chain).first()
     assert tuple(row) == (True, 9, "0>5>6>7>8>9>10>11>12>1")
-    assert {r.id: r.distance for r in queries.QUERIES["algo_distances_whole"](spark, chain).collect()}["1"] == 9
+    assert {r.id: r.distance for r in queries.QUERIES["algo_distances"](spark, chain).collect()}["1"] == 9
     folder, users, pairs = small
     out = {}
     for a, b in pairs:
         out.setdefault(a, set()).add(b)
     want = {(s, t): d for s in users for t, d in bfs(out, s).items() if d}
     assert max(want.values()) > 4
-    assert {(r.source, r.id): r.distance for r in queries.QUERIES["algo_distances_all_whole"](spark, folder).collect()} == want
+    assert {(r.source, r.id): r.distance for r in queries.QUERIES["algo_distances_all"](spark, folder).collect()} == want
 
 
 def test_cascades(spark, small, both):
@@ -129,6 +129,6 @@ def test_cascades(spark, small, both):
         best = max((n for n in order if n not in chosen), key=lambda n: (reach([*chosen, n]), -order.index(n)))
         chosen.append(best)
         want.append((turn, best, reach(chosen)))
-    rows = queries.QUERIES["algo_influence_whole"](spark, folder).collect()
+    rows = queries.QUERIES["algo_influence"](spark, folder).collect()
     assert [(r.selection_order, r.id) for r in rows] == [w[:2] for w in want]
     assert [r.reach for r in rows] == pytest.approx([w[2] for w in want])
