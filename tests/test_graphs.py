@@ -15,49 +15,49 @@ def made(spark, nodes, edges, directed=True):
 
 
 @pytest.fixture(scope="module")
-def path(spark):
-    return made(spark, "abcdz", ["ab", "cb", "cd"])
+def kite(spark):
+    """p, q, r, s in a ring, t hung on s, u on t, and a pair v, w apart; worked out by hand below."""
+    return made(spark, "pqrstuvw", ["pq", "qr", "rs", "ps", "ts", "tu", "vw"])
 
 
 def run(graph, name, **params):
     return envelopes.ALGORITHMS[name][1](graph, **envelopes.parameters(name, params))
 
 
-def test_lock_algorithms(path):
-    friends = run(path, "GetFriends", user="b", edge_type="FOLLOWS", limit=10)
-    assert (friends["friends"], friends["limit_applied"]) == (["a", "c"], False)
-    assert run(path, "GetFriends", user="b", limit=1)["limit_applied"]
-    assert run(path, "AreConnected", user1="a", user2="d")["hops"] == 3
-    assert run(path, "AreConnected", user1="a", user2="z") == {"user1": "a", "user2": "z", "connected": False, "hops": -1}
-    assert run(path, "AreConnected", user1="a", user2="a")["hops"] == 0
-    assert run(path, "ShortestPath", **{"from": "a", "to": "d"})["path"] == ["a", "b", "c", "d"]
-    assert run(path, "ShortestPath", **{"from": "a", "to": "z"})["path"] == []
-    assert run(path, "MutualFriends", user1="a", user2="c")["mutual_friends"] == ["b"]
-    assert run(path, "FriendSuggestion", user="a")["suggestions"] == [{"user_id": "c", "mutual_friends": 1}]
-    top = run(path, "MostConnected", metric="total", node_type="User", limit=5)
-    assert {r["id"]: (r["in"], r["out"], r["total"]) for r in top["results"]} == {"a": (0, 1, 1), "b": (2, 0, 2), "c": (0, 2, 2), "d": (1, 0, 1), "z": (0, 0, 0)}
-    stats = run(path, "NetworkStats", mode="full")
-    assert (stats["density"], stats["node_types"], stats["edge_types"], stats["degree"]["isolated_nodes"]) == (0.15, {"User": 5}, {"FOLLOWS": 3}, 1)
-    assert run(path, "Neighborhood", node="a", depth=2)["nodes"] == [{"id": "b", "distance": 1}, {"id": "c", "distance": 2}]
-    for name, params in (("MutualFriends", {"user1": "a", "user2": "no"}), ("MostConnected", {"node_type": "No"}), ("MutualFriends", {"user1": "a", "user2": "b", "edge_type": "No"})):
+def test_lock_algorithms(kite):
+    friends = run(kite, "GetFriends", user="s", edge_type="FOLLOWS", limit=3)
+    assert (friends["friends"], friends["limit_applied"]) == (["p", "r", "t"], False)
+    assert run(kite, "GetFriends", user="s", limit=2)["limit_applied"]
+    assert [run(kite, "AreConnected", user1="q", user2=x)["hops"] for x in "uqw"] == [4, 0, -1]
+    # Two shortest ways from q to u: over p and over r.
+    assert run(kite, "ShortestPath", **{"from": "q", "to": "u"})["path"] == ["q", "p", "s", "t", "u"]
+    assert run(kite, "ShortestPath", **{"from": "v", "to": "u"})["path"] == []
+    assert run(kite, "MutualFriends", user1="p", user2="t")["mutual_friends"] == ["s"]
+    assert run(kite, "FriendSuggestion", user="q")["suggestions"] == [{"user_id": "s", "mutual_friends": 2}]
+    top = run(kite, "MostConnected", metric="total", node_type="User", limit=3)
+    assert [(r["id"], r["in"], r["out"], r["total"]) for r in top["results"]] == [("s", 3, 0, 3), ("p", 0, 2, 2), ("q", 1, 1, 2)]
+    stats = run(kite, "NetworkStats", mode="full")
+    assert (stats["density"], stats["node_types"], stats["edge_types"], stats["degree"]["isolated_nodes"]) == (0.125, {"User": 8}, {"FOLLOWS": 7}, 0)
+    assert run(kite, "Neighborhood", node="u", depth=2)["nodes"] == [{"id": "t", "distance": 1}, {"id": "s", "distance": 2}]
+    for name, params in (("MostConnected", {"node_type": "Ship"}), ("MutualFriends", {"user1": "p", "user2": "x"}), ("MutualFriends", {"user1": "p", "user2": "q", "edge_type": "OWES"})):
         with pytest.raises(ValueError):
-            run(path, name, **params)
+            run(kite, name, **params)
 
 
-def test_job_algorithms(path):
-    found = run(path, "ConnectedComponents", node_type="User")
-    assert [c["members"] for c in found["components"]] == [["a", "b", "c", "d"], ["z"]]
-    one = run(path, "AllDistances", source="c", max_hops=1, node_type="User")
-    assert (one["distances"], one["reached"], one["unreachable"]) == ([{"id": "b", "distance": 1}, {"id": "d", "distance": 1}], 2, 2)
-    every = {s["source"]: s["distances"] for s in run(path, "AllDistances", source="a", all=True, max_hops=10)["sources"]}
-    assert every["a"] == [{"id": "b", "distance": 1}] and every["b"] == [] and len(every) == 5
-    between = {n["user_id"]: n["betweenness"] for n in run(path, "BetweennessCentrality", top=5)["nodes"]}
-    assert between == {"a": 0, "b": 0.333333, "c": 0.333333, "d": 0, "z": 0}
-    groups = run(path, "CommunityDetection", max_iterations=20, members=True)
-    assert (groups["communities"][0]["members"], groups["isolated_nodes"]) == (["a", "b", "c", "d"], 1)
-    best = run(path, "InfluenceMaximization", k=1, simulations=3, probability=1.0)
-    assert (best["estimated_reach"], best["reach_percentage"]) == (4.0, 80.0)
-    assert sum(n["score"] for n in run(path, "PageRank")["nodes"]) == pytest.approx(1)
+def test_job_algorithms(kite):
+    assert [c["members"] for c in run(kite, "ConnectedComponents", node_type="User")["components"]] == [list("pqrstu"), ["v", "w"]]
+    one = run(kite, "AllDistances", source="p", max_hops=2, node_type="User")
+    assert (one["distances"], one["reached"], one["unreachable"]) == ([{"id": "q", "distance": 1}, {"id": "s", "distance": 1}, {"id": "r", "distance": 2}], 3, 4)
+    every = {s["source"]: s["distances"] for s in run(kite, "AllDistances", source="p", all=True, max_hops=10)["sources"]}
+    assert every["t"] == [{"id": "s", "distance": 1}, {"id": "u", "distance": 1}] and every["u"] == [] and len(every) == 8
+    # s is between {p, q, r} and {t, u} on all six ways, and shares p-r with q: 6.5 pairs, both directions, of 7 times 6.
+    between = {n["user_id"]: n["betweenness"] for n in run(kite, "BetweennessCentrality", top=8)["nodes"]}
+    assert between == {k: pytest.approx(2 * x / 42, abs=1e-6) for k, x in {"s": 6.5, "t": 4, "p": 1.5, "r": 1.5, "q": 0.5, "u": 0, "v": 0, "w": 0}.items()}
+    groups = run(kite, "CommunityDetection", max_iterations=20, members=True)
+    assert groups["isolated_nodes"] == 0 and sorted(m for c in groups["communities"] for m in c["members"]) == list("pqrstuvw")
+    best = run(kite, "InfluenceMaximization", k=2, simulations=3, probability=1.0)
+    assert (best["estimated_reach"], best["reach_percentage"]) == (8.0, 100.0)
+    assert sum(n["score"] for n in run(kite, "PageRank")["nodes"]) == pytest.approx(1)
 
 
 def bfs(neighbours, start):
@@ -112,13 +112,13 @@ def test_random(spark, seed):
     assert {r.id: r.score for r in algorithms._betweenness_joins(graph, 7).collect()} == pytest.approx({v: x for v, x in score.items() if x})
 
 
-def test_exports(spark, path):
-    ids, coo = graphs.export_coo(path)
-    assert {r.idx: r.id for r in ids.collect()} == dict(enumerate("abcdz"))
-    assert sorted((r.src_idx, r.dst_idx) for r in coo.collect()) == [(0, 1), (2, 1), (2, 3)]
-    rows, columns = graphs.export_csr(path)
-    assert [(r.idx, r.start, r.degree) for r in rows.orderBy("idx").collect()] == [(0, 0, 1), (1, 1, 0), (2, 1, 2), (3, 3, 0), (4, 3, 0)]
-    assert [r.dst_idx for r in columns.orderBy("position").collect()] == [1, 1, 3]
+def test_exports(spark, kite):
+    ids, coo = graphs.export_coo(kite)
+    assert {r.idx: r.id for r in ids.collect()} == dict(enumerate("pqrstuvw"))
+    assert sorted((r.src_idx, r.dst_idx) for r in coo.collect()) == [(0, 1), (0, 3), (1, 2), (2, 3), (4, 3), (4, 5), (6, 7)]
+    rows, columns = graphs.export_csr(kite)
+    assert [(r.idx, r.start, r.degree) for r in rows.orderBy("idx").collect()] == [(0, 0, 2), (1, 2, 1), (2, 3, 1), (3, 4, 0), (4, 4, 2), (5, 6, 0), (6, 6, 1), (7, 7, 0)]
+    assert [r.dst_idx for r in columns.orderBy("position").collect()] == [1, 3, 2, 3, 3, 5, 7]
 
 
 def test_small_graphs(spark):
