@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Key characters: a run of 16 or more that holds a digit is a candidate wherever it stands; dots may join its parts, and
 #: ``=`` ends it, so that NAME=value is a name and a value.
-RUN = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9_+/.-]{16})(?=[A-Za-z_+/.-]*[0-9])[A-Za-z0-9_+/-]+(?:\.[A-Za-z0-9_+/-]{2,})*={0,2}(?<=.{16})"
+RUN = r"(?<![A-Za-z0-9_+/-])(?<![A-Za-z0-9_+/-]\.)(?=[A-Za-z0-9_+/.-]{16})(?=[A-Za-z_+/.-]*[0-9])[A-Za-z0-9_+/-]+(?:\.[A-Za-z0-9_+/-]+)*={0,2}(?<=.{16})"
 #: A value of six characters or more after a word that names a secret, whatever its characters; in quotes it may hold marks.
 NAMED = r"(?i:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)[\"'`]?\s{0,3}[:=]\s{0,3}"
 ASSIGNED = NAMED + r"(?:\"[^\"\n]{6,200}(?=\")|'[^'\n]{6,200}(?=')|[^\s\"'`,;]{6,})"
