@@ -20,13 +20,16 @@ def hash_bits(key: Column) -> Column:
 def _leaves(cells: DataFrame, base: int, depth: int, limit: int) -> DataFrame:
     """For each cell (group, cell, bytes, docs) of ``depth`` bits below ``base`` its leaf: the shortest prefix that fits.
 
-    A prefix with a single row is a leaf too, however long the row.
+    A prefix with a single row is a leaf too, however long the row. Sums are pre-aggregated where the cells are. No
+    cell meets a prefix shorter than the shortest that fits anywhere: at the first levels one prefix would get them all.
     """
     paths = cells.select("group", "cell", "bytes", "docs", F.explode(F.sequence(F.lit(base), F.lit(depth))).alias("depth"))
     paths = paths.withColumn("prefix", F.expr(f"shiftright(cell, {depth} - depth)"))
     sums = paths.groupBy("group", "depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs"))
-    fits = sums.filter((F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1))
-    best = paths.join(fits, ["group", "depth", "prefix"]).groupBy("group", "cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_docs")).alias("leaf"))
+    fits = cut(sums.filter((F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1)))
+    least = fits.agg(F.min("depth")).first()[0]
+    near = paths.filter(F.col("depth") >= (depth + 1 if least is None else least))
+    best = near.join(fits, ["group", "depth", "prefix"]).groupBy("group", "cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_docs")).alias("leaf"))
     return best.select("group", "cell", "leaf.*")
 
 
