@@ -75,12 +75,20 @@ def _shingles(text: Column, size: int) -> Column:
     @F.pandas_udf("whole string, set binary")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            words = [simhash.words_of(t) for t in batch]
-            yield pd.DataFrame({"whole": [_digest(w) for w in words], "set": [np.unique(simhash.shingle_hashes(w, size, 42)).tobytes() for w in words]})
+            yield _sets(batch, size)
 
     return run(text)
 
 
+def _sets(texts: pd.Series, size: int) -> pd.DataFrame:
+    """(whole, set) of each text; the words of one text are held at a time."""
+    rows = []
+    for t in texts:
+        words = simhash.words_of(t)
+        rows.append((_digest(words), np.unique(simhash.shingle_hashes(words, size, 42)).tobytes()))
+    return pd.DataFrame(rows, columns=["whole", "set"])
+
+
 def _digest(words: list[bytes]) -> str:
     return xxhash.xxh128_hexdigest(b" ".join(words))
 
