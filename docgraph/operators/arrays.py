@@ -19,7 +19,10 @@ class Arrays:
     """``dst[start[i]:start[i + 1]]`` are the ends of the steps of node ``i``, in order."""
 
     def __init__(self, nodes: int, src: np.ndarray, dst: np.ndarray):
-        both = np.sort(src.astype(np.int64) << 32 | dst.astype(np.int64))
+        both = src.astype(np.int64)
+        both <<= 32
+        both |= dst
+        both.sort()
         self.dst = both.astype(np.int32)
         self.start = np.concatenate([[0], np.cumsum(np.bincount(both >> 32, minlength=nodes))]).astype(np.int64)
 
@@ -96,7 +99,7 @@ def parts(graph: Arrays) -> tuple[list[Part], np.ndarray]:
     above = np.concatenate([first[first >= 0], second[second >= 0]])
     sparse = Arrays(n, np.concatenate([child, above]), np.concatenate([above, child]))
     members, tops, ends = _searched(sparse, np.flatnonzero((label == np.arange(n)) & (size > 1)))
-    own = np.full(n, -1, np.int64)
+    own = np.full(n, -1, np.int32)
     own[members] = np.repeat(np.arange(len(tops)), np.diff(ends))
     hang, squares, below = np.ones(n), np.zeros(n), np.zeros(len(tops))
     for k, top in enumerate(tops.tolist()):  # a part comes after those that hang on it
