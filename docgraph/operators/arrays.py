@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 PIECE = 1 << 20
 #: Parts of so many nodes at most, and with one step for so many pairs at least, are counted as matrices.
 DENSE_NODES, DENSE_PAIRS = 4096, 64
+#: Bits of sets of nodes that are held together while it is counted what nodes reach.
+SET_BITS = 1 << 30
 
 
 class Arrays:
@@ -218,6 +220,94 @@ def brandes(graph: Arrays, weight: np.ndarray, source: int) -> np.ndarray:
     return depends
 
 
+def strong(graph: Arrays) -> np.ndarray:
+    """For each node the number of its strongly connected part; steps between parts lead to smaller numbers."""
+    n = len(graph.start) - 1
+    start, dst = memoryview(graph.start), memoryview(graph.dst)
+    part = np.full(n, -1, np.int32)
+    order, low, at, own = (memoryview(x) for x in (np.zeros(n, np.int32), np.zeros(n, np.int32), graph.start[:-1].copy(), part))
+    held, turn, found = [], 0, 0
+    for root in range(n):
+        path = [] if order[root] else [root]
+        while path:
+            node = path[-1]
+            if not order[node]:
+                turn += 1
+                order[node] = low[node] = turn
+                held.append(node)
+            place, end, least = at[node], start[node + 1], low[node]
+            while place < end:
+                to = dst[place]
+                if not order[to]:
+                    break
+                if own[to] < 0 and low[to] < least:
+                    least = low[to]
+                place += 1
+            at[node], low[node] = place, least
+            if place < end:
+                path.append(to)
+                continue
+            path.pop()
+            if least == order[node]:
+                while own[node] < 0:
+                    own[held.pop()] = found
+                found += 1
+    return part
+
+
+def spread_from(graph: Arrays, roots: np.ndarray) -> np.ndarray:
+    """Which nodes some roots reach, themselves included."""
+    seen = np.zeros(len(graph.start) - 1, bool)
+    seen[roots], front = True, np.unique(roots)
+    while len(front):
+        to = graph.dst[graph.of(front)[0]]
+        front = np.unique(to[~seen[to]])
+        seen[front] = True
+    return seen
+
+
+def reaches(weight: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The weight of what each node of an acyclic graph reaches, itself included; steps lead to smaller numbers.
+
+    What reaches the heaviest node reaches all behind it, so that only the rest is counted as sets.
+    """
+    if not len(src):
+        return weight.copy()
+    heavy = np.array([np.argmax(weight)])
+    behind, before = spread_from(Arrays(len(weight), src, dst), heavy), spread_from(Arrays(len(weight), dst, src), heavy)
+    out = np.where(before, weight[behind].sum(), 0)
+    for kept, whose in ((~behind, before & ~behind), (~before, ~before)):
+        inside = kept[src] & kept[dst]
+        out[whose] += _reaches_sets(weight, src[inside], dst[inside])[whose]
+    return out
+
+
+def _reaches_sets(weight: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The same by sets of bits, as many for a node as it weighs; each weakly connected piece has bits of its own."""
+    n, out = len(weight), weight.copy()
+    piece = least_connected(n, src, dst)
+    order, size, upto = np.argsort(piece, kind="stable"), np.zeros(n, np.int64), np.empty(n, np.int64)
+    np.add.at(size, piece, weight)
+    upto[order] = np.cumsum(weight[order])
+    upto -= (np.cumsum(size) - size)[piece]
+    order = np.argsort(src, kind="stable")
+    src, dst, at, low = src[order], dst[order], np.empty(n, np.int64), 0
+    while len(src):
+        nodes = np.unique(np.concatenate([src, dst]))
+        at[nodes], width = np.arange(len(nodes)), max(64, SET_BITS // len(nodes))
+        first, last = (np.clip(x - low, 0, width).tolist() for x in (upto[nodes] - weight[nodes], upto[nodes]))
+        sets = [(1 << b) - (1 << a) for a, b in zip(first, last, strict=True)]
+        for a, b in zip(at[src].tolist(), at[dst].tolist(), strict=True):  # all steps of b came before
+            sets[a] |= sets[b]
+        if not low:
+            out[nodes] = 0
+        out[nodes] += [s.bit_count() for s in sets]
+        low += width
+        more = size[piece[src]] > low
+        src, dst = src[more], dst[more]
+    return out
+
+
 def bits(places: np.ndarray, nodes: int) -> np.ndarray:
     """A row of 64-bit words for each node: bit i at node ``places[i]``."""
     out = np.zeros((nodes, -(-len(places) // 64)), np.uint64)

@@ -27,6 +27,47 @@ def test_cascades_by_joins(spark, monkeypatch):
     assert run() == want
 
 
+def test_every_node_is_a_candidate(spark, monkeypatch):
+    """The best seeds are nodes of the least degree, which over a hundred others precede; in both forms."""
+    pairs = [(f"p{i:02}", f"q{i:02}", kind) for i in range(55) for kind in "abc"]
+    path = [f"w{i}" for i in range(9)]
+    graph = graph_of(spark, sorted({n for a, b, _ in pairs for n in (a, b)} | {*path}), pairs + [(a, b, "a") for a, b in zip(path, path[1:])])
+    run = lambda: [tuple(r) for r in algorithms.influence(graph, 3, 2, 1.0).orderBy("selection_order").collect()]
+    want = [(1, "w1", 9.0, 9.0), (2, "p00", 2.0, 11.0), (3, "p01", 2.0, 13.0)]
+    assert run() == want
+    monkeypatch.setattr(algorithms, "BROADCAST_STEPS", 10)
+    monkeypatch.setattr(algorithms, "CANDIDATES", 50)
+    assert run() == want
+
+
+def test_more_seeds_than_gains(spark, monkeypatch):
+    """When nothing is left to reach, seeds that add nothing follow by degree; not more than there are nodes."""
+    graph = graph_of(spark, ["a", "b", "c"], [("c", "b", "x"), ("b", "a", "x")])
+    run = lambda: [tuple(r) for r in algorithms.influence(graph, 5, 2, 1.0).orderBy("selection_order").collect()]
+    want = [(1, "b", 3.0, 3.0), (2, "a", 0.0, 3.0), (3, "c", 0.0, 3.0)]
+    assert run() == want
+    monkeypatch.setattr(algorithms, "BROADCAST_STEPS", 1)
+    assert run() == want
+
+
+@pytest.mark.parametrize("held", [100, arrays.SET_BITS])
+def test_reaches(monkeypatch, held):
+    """Strongly connected parts and what they reach, against closures."""
+    monkeypatch.setattr(arrays, "SET_BITS", held)
+    rng = np.random.default_rng(7)
+    for n, many in ((1, 0), (30, 20), (60, 60), (60, 75), (80, 300), (300, 330)):
+        src, dst = rng.integers(0, n, (2, many))
+        part = arrays.strong(arrays.Arrays(n, src, dst))
+        far = np.eye(n, dtype=bool)
+        far[src, dst] = True
+        for k in range(n):
+            far |= far[:, k : k + 1] & far[k]
+        assert ((far & far.T) == (part[:, None] == part)).all()
+        a, b = part[src], part[dst]
+        assert (a >= b).all()
+        assert (arrays.reaches(np.bincount(part), a[a != b], b[a != b])[part] == far.sum(axis=1)).all()
+
+
 @pytest.mark.parametrize("dense", [0, arrays.DENSE_PAIRS])
 def test_parts(monkeypatch, dense):
     """Credits inside parts and pairs that cut nodes separate add up to those of the whole graph, with far fewer visits."""
