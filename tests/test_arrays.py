@@ -1,6 +1,7 @@
 """Graph algorithms over arrays and their forms by joins, on graphs with cut nodes, loops and separate pieces."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -87,6 +88,41 @@ def test_parts(monkeypatch, dense):
             assert sum(len(p.nodes) * len(p.steps.dst) for p in parts) * blobs <= n * len(graph.dst)
 
 
+def undirected(n, src, dst) -> arrays.Arrays:
+    kept = src != dst
+    steps = np.unique(np.concatenate([[src[kept], dst[kept]], [dst[kept], src[kept]]], axis=1), axis=1)
+    return arrays.Arrays(n, steps[0], steps[1])
+
+
+def test_pairs_are_counted_once(monkeypatch):
+    """Pairs with later nodes, doubled, are all pairs: on paths, rings, dense and separate pieces, with any weights."""
+    rng = np.random.default_rng(4)
+    ring = np.arange(50)
+    graphs = [undirected(n, *rng.integers(0, n, (2, many))) for n, many in ((2, 1), (10, 12), (40, 400), (200, 230), (300, 9000))]
+    for held in (3, arrays.ROWS):
+        monkeypatch.setattr(arrays, "ROWS", held)
+        for graph in (*graphs, undirected(50, ring, (ring + 1) % 50), undirected(50, ring[1:], ring[:-1])):
+            n = len(graph.start) - 1
+            weight, rows = rng.integers(1, 5, n).astype(float), arrays.Rows(graph)
+            want = sum(weight[s] * arrays.brandes(graph, weight, s) for s in range(n))
+            assert sum(2 * weight[s] * arrays.later(rows, weight, s) for s in range(n)) == pytest.approx(want)
+
+
+def test_one_large_part():
+    """In a part too large for matrices a search ends where all pairs are found; the last level is most of the steps."""
+    n = 12_000
+    graph = undirected(n, *np.random.default_rng(2).integers(0, n, (2, 40 * n)))
+    part, sources = arrays.Part(np.arange(n), graph, np.ones(n)), np.arange(0, n, n // 24)
+    arrays.credits(part, sources[:1])
+    spent = []
+    for of in (lambda: [arrays.brandes(graph, part.weight, int(s)) for s in sources], lambda: arrays.credits(part, sources)):
+        began = time.process_time()
+        of()
+        spent.append(time.process_time() - began)
+    assert not part.dense()
+    assert spent[1] < spent[0] / 2
+
+
 def test_no_level_by_level(spark):
     """Distances of all pairs and betweenness of a long path take no Spark job for each level."""
     names = [f"{i:02}" for i in range(60)]
