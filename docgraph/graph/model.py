@@ -8,11 +8,12 @@ type; an undirected edge is one row, whichever way round it was stored. props is
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from docgraph.functions.predicate import Fields, json_path, type_at, typed_field, where
+from docgraph.plans.durable import cut
 
 NODE_SCHEMA = "id string, type string, implicit boolean, props string"
 EDGE_SCHEMA = "src string, dst string, type string, directed boolean, props string"
@@ -70,6 +71,8 @@ class Graph:
     nodes_built: int = 0
     edges_built: int = 0
     version: int = 1
+    #: Nodes without the implicit ones, where the graph was built from mappings.
+    mapped: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -112,6 +115,11 @@ class Graph:
         self.edges.persist()
         return self
 
+    def stored(self) -> Graph:
+        """The graph written once to the shared folder; edges are not made again for the implicit nodes."""
+        edges = cut(self.edges)
+        return replace(self, nodes=cut(self.nodes if self.mapped is None else with_implicit(self.mapped, edges)), edges=edges, mapped=None)
+
     def write(self, path: str) -> None:
         """Parquet below ``path``; :func:`read` gives the graph back."""
         self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
@@ -195,7 +203,7 @@ def build(definition: GraphDefinition, collections: dict[str, DataFrame], spark:
         edge_rows = part if edge_rows is None else edge_rows.unionByName(part)
     nodes = unique_nodes(node_rows) if node_rows is not None else spark.createDataFrame([], NODE_SCHEMA)
     edges = unique_edges(edge_rows) if edge_rows is not None else spark.createDataFrame([], EDGE_SCHEMA)
-    graph = Graph(with_implicit(nodes, edges), edges)
+    graph = Graph(with_implicit(nodes, edges), edges, mapped=nodes)
     if count:
         graph.nodes_built = node_rows.count() if node_rows is not None else 0
         graph.edges_built = edge_rows.select("mapping", "doc").distinct().count() if edge_rows is not None else 0

@@ -40,6 +40,18 @@ class Arrays:
         return np.repeat(self.start[front] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()), np.repeat(front, sizes)
 
 
+def either_way(nodes: int, src: np.ndarray, dst: np.ndarray) -> Arrays:
+    """Distinct steps between the ends of pairs, both ways."""
+    once = np.minimum(src, dst).astype(np.int64)
+    once <<= 32
+    once |= np.maximum(src, dst)
+    once.sort()
+    once = once[np.flatnonzero(np.diff(once, prepend=-1))]
+    one, two = (once >> 32).astype(np.int32), once.astype(np.int32)
+    del once
+    return Arrays(nodes, np.concatenate([one, two]), np.concatenate([two, one]))
+
+
 class Rows:
     """Steps in rows of one width, those of node ``i`` are rows ``first[i]`` to ``first[i + 1]``; a free place holds the number of nodes."""
 
@@ -198,11 +210,11 @@ def _credits_dense(part: Part, sources: np.ndarray) -> np.ndarray:
     n, rows = len(part.nodes), np.arange(len(sources))
     matrix = np.zeros((n, n))
     matrix[part.steps.src(), part.steps.dst] = 1
-    level, paths, front = np.full((len(sources), n), -1, np.int16), np.zeros((len(sources), n)), np.zeros((len(sources), n))
-    level[rows, sources], paths[rows, sources], front[rows, sources] = 0, 1, 1
+    level, paths, front = np.full((len(sources), n), -1, np.int16), np.zeros((len(sources), n)), None
+    level[rows, sources], paths[rows, sources] = 0, 1
     depth = 0
-    while True:
-        front = front @ matrix
+    while (level < 0).any():
+        front = matrix[sources] if front is None else front @ matrix
         front[level >= 0] = 0
         fresh = front > 0
         if not fresh.any():
